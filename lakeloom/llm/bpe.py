@@ -1,7 +1,7 @@
 """Byte-level BPE by a rank queue on a hierarchical bitmap, and its inverse.
 
 A pre-token is a linked list of parts. Each adjacent pair that has a merge rank waits in
-that rank's bucket, under the position of its left part. A three-level bitmap says which
+that rank's bucket, under the position of its left part. A two-level bitmap says which
 buckets hold something: find-first-set, level by level, gives the lowest rank at once, so
 n bytes take about n log n steps where a scan for the lowest pair takes n squared. Entries
 whose pair has changed meanwhile are stale and skipped when met.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import as_text, batches, column, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 300_000
+#: Pre-tokens whose ids a worker remembers in each of two generations.
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,80 +33,77 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-class RankQueue:
-    """Positions by merge rank; pop() gives the leftmost position of the lowest rank."""
-
-    __slots__ = ("buckets", "low", "mid", "top")
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int]:
-        top = self.top
-        b = (top & -top).bit_length() - 1
-        word = self.mid[b]
-        a = b << 6 | ((word & -word).bit_length() - 1)
-        word = self.low[a]
-        rank = a << 6 | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[a] = word = word & (word - 1)
-            if not word:
-                self.mid[b] = word = self.mid[b] & ~(1 << (a & 63))
-                if not word:
-                    self.top &= ~(1 << b)
-        return rank, position
-
-
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the lowest rank merges first, the leftmost pair of it first."""
-    whole = ranks.get(piece)
+    """Token ids of one pre-token: the lowest rank merges first, the leftmost pair of it first.
+
+    The queue is kept in local names, for speed: `buckets` maps a rank to a heap of
+    positions; bit r of the bitmap says that bucket r holds something, in words of 256
+    bits, and bit w of `top` that word w isn't zero.
+    """
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     waiting = [-1] * n  # the rank under which the pair that begins here waits
-    queue = RankQueue()
-    get, push = ranks.get, queue.push
+    buckets: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         if rank is not None:
             waiting[i] = rank
-            push(rank, i)
-    while queue.top:
-        rank, i = queue.pop()
-        if waiting[i] != rank:
+            if rank in buckets:
+                buckets[rank].append(i)  # positions rise: the list is a heap already
+            else:
+                buckets[rank] = [i]
+                word = rank >> 8
+                low[word] = low.get(word, 0) | 1 << (rank & 255)
+                top |= 1 << word
+    while top:
+        # find first set, word by word
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word << 8 | ((bits & -bits).bit_length() - 1)
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            low[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+        if waiting[i] != rank:  # stale: the pair has changed since
             continue
         j = end[i]
         stop = end[i] = end[j]
         waiting[j] = -1
-        rank = -1
+        waiting[i] = -1
+        made = ()
         if stop < n:
             before[stop] = i
-            rank = get(piece[i : end[stop]], -1)
-            if rank >= 0:
-                push(rank, i)
-        waiting[i] = rank
+            rank = get(piece[i : end[stop]])
+            if rank is not None:
+                waiting[i] = rank
+                made = ((rank, i),)
         h = before[i]
         if h >= 0:
-            rank = waiting[h] = get(piece[h:stop], -1)
-            if rank >= 0:
-                push(rank, h)
+            rank = get(piece[h:stop])
+            if rank is None:
+                waiting[h] = -1
+            else:
+                waiting[h] = rank
+                made += ((rank, h),)
+        for rank, at in made:
+            if rank in buckets:
+                heappush(buckets[rank], at)
+            else:
+                buckets[rank] = [at]
+                word = rank >> 8
+                low[word] = low.get(word, 0) | 1 << (rank & 255)
+                top |= 1 << word
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -115,18 +112,22 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-token -> its ids as little-endian bytes; remembers a bounded number."""
+    """Pre-token -> its ids as little-endian bytes; remembers a bounded number, in two generations."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}
         self.parts = [b""] * (max(ranks.values()) + 1)
         for part, rank in ranks.items():
             self.parts[rank] = part
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        ids = array("I", encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
