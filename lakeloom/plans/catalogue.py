@@ -1,21 +1,620 @@
-"""All queries of the engine, and their SQL on the same tables."""
+"""All queries of the engine, and for each the SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions import columns as fn
+from lakeloom.operators import batch, graph, kv, monitoring, partitioning, relational, search, timeseries, txn
+from lakeloom.sources import tables as src
+from lakeloom.sources.tables import sql
+from lakeloom.streaming import topology
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Parameters shared by queries and oracles.
+USER, OTHER, TAG, NODES = 5, 9, "Brand#1", 4
+
+
+def query(oracle: str | None = None):
+    """Register a query under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return src.table(spark, sf_dir, name)
+
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
+def _r(name: str, digits: int = 6):
+    return F.round(name, digits).alias(name)
+
+
+# ---- time series
+
+@query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS bucket, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY 1, 2")
+def ts_downsample_avg_5m(spark, sf_dir):
+    out = timeseries.downsample(_t(spark, sf_dir, "events"), "5 minutes", ["event_type"])
+    return out.select("event_type", "bucket", F.round("value", 6).alias("avg_value"), "n")
+
+
+def _lower_rank(keys: str, frm: str, value: str, order: str) -> str:
+    p = ", ".join(f"max(v) FILTER (WHERE rn = least(n * {x} // 100, n - 1)) AS p{x}" for x in (50, 95, 99))
+    return f"SELECT {keys}, {p} FROM (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {value}, {order}) - 1 AS rn, count(*) OVER (PARTITION BY {keys}) AS n FROM {frm}) GROUP BY ALL"
+
+
+@query(_lower_rank("event_type, bucket", "(SELECT *, time_bucket(INTERVAL '1 day', ts) AS bucket FROM events)", "value", "event_id"))
+def ts_downsample_percentile(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("bucket", fn.window_start(F.col("ts"), "1 day"))
+    return timeseries.lower_rank_percentiles(e, ["event_type", "bucket"], "value", [50, 95, 99], "event_id")
+
+
+@query(sql("metrics", "SELECT metric_name, k, time_bucket(INTERVAL '1 hour', ts) AS bucket, round(max(value), 6) AS value, count(*) AS n FROM metrics WHERE metric_name = 'purchase' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' GROUP BY ALL"))
+def ts_query_contract(spark, sf_dir):
+    from datetime import datetime
+
+    out = timeseries.query(src.metrics(spark, sf_dir), "purchase", datetime(2024, 1, 5), datetime(2024, 1, 20), "1 hour", "max", group_by=["k"])
+    return out.select("metric_name", "k", "bucket", _r("value"), "n")
+
+
+_SESSIONS = "SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration FROM (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '6 hours' THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, s"
+
+
+@query(_SESSIONS)
+def ts_sessions(spark, sf_dir):
+    return timeseries.sessions(_t(spark, sf_dir, "events"), "6 hours")
+
+
+@query(f"SELECT user_id, count(*) AS sessions, round(avg(duration), 4) AS mean_duration, max(duration) AS longest FROM ({_SESSIONS}) GROUP BY user_id")
+def ts_session_duration(spark, sf_dir):
+    s = timeseries.sessions(_t(spark, sf_dir, "events"), "6 hours")
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.round(F.avg("duration"), 4).alias("mean_duration"), F.max("duration").alias("longest"))
+
+
+@query(f"SELECT round(coalesce(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 0.0), 6)::DOUBLE AS bounce_rate, count(*) AS sessions FROM ({_SESSIONS})")
+def ts_bounce_rate(spark, sf_dir):
+    return timeseries.bounce_rate(timeseries.sessions(_t(spark, sf_dir, "events"), "6 hours")).select(_r("bounce_rate"), "sessions")
+
+
+@query(sql("activity", "SELECT page_url, count(*) AS views FROM activity WHERE action = 'view_page' AND page_url <> '' GROUP BY 1"))
+def ts_popular_pages(spark, sf_dir):
+    return timeseries.popular_pages(src.activity(spark, sf_dir))
+
+
+@query(sql("activity", "SELECT user_id, string_agg(page_url, '>' ORDER BY ts, event_id) AS journey FROM activity WHERE action = 'view_page' AND page_url IS NOT NULL GROUP BY 1"))
+def ts_user_journey(spark, sf_dir):
+    return timeseries.journeys(src.activity(spark, sf_dir)).select("user_id", F.array_join("pages", ">").alias("journey"))
+
+
+@query("SELECT event_id, event_type, round(value, 6) AS value, round(m, 6) AS mean FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(*) OVER w AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE c = 10 AND abs(value - m) > 2 * s")
+def ts_anomalies(spark, sf_dir):
+    return timeseries.anomalies(_t(spark, sf_dir, "events"), ["event_type"]).select("event_id", "event_type", _r("value"), _r("mean"))
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS current_avg, CASE WHEN count(*) OVER w >= 2 AND max(us) OVER w > min(us) OVER w THEN round(count(*) OVER w / ((max(us) OVER w - min(us) OVER w) / 1e6), 6) END AS current_rate FROM (SELECT *, epoch_us(ts) AS us FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)")
+def ts_trailing_avg_rate(spark, sf_dir):
+    return timeseries.trailing(_t(spark, sf_dir, "events"), ["event_type"]).select("event_id", _r("current_avg"), _r("current_rate"))
+
+
+@query("SELECT event_type, round(avg(CASE WHEN value >= 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS availability FROM events GROUP BY 1")
+def ts_availability(spark, sf_dir):
+    return timeseries.availability(_t(spark, sf_dir, "events"), ["event_type"], 10.0).select("event_type", _r("availability"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date_partition, hour(ts)::INT AS hour_partition, count(*) AS n FROM events GROUP BY ALL")
+def ts_partitions(spark, sf_dir):
+    return src.with_date_partition(_t(spark, sf_dir, "events")).groupBy("date_partition", "hour_partition").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '7 days' GROUP BY 1")
+def ts_retention(spark, sf_dir):
+    return src.delete_older(_t(spark, sf_dir, "events"), 7).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# ---- monitoring
+
+@query(sql("metrics", "SELECT metric_name, count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS mean, arg_max(value, (ts, event_id)) AS latest, arg_min(value, (ts, event_id)) AS first FROM (SELECT * FROM metrics QUALIFY row_number() OVER (PARTITION BY metric_name ORDER BY ts DESC, event_id DESC) <= 1000) GROUP BY 1"))
+def metric_statistics(spark, sf_dir):
+    return monitoring.statistics(src.metrics(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@query(sql("metrics", "SELECT event_id, metric_name, round(sum(value) OVER (PARTITION BY metric_name ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total, round(sum(value) OVER (PARTITION BY metric_name, k ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS label_total FROM metrics"))
+def metric_counter_running(spark, sf_dir):
+    return monitoring.running_counter(src.metrics(spark, sf_dir)).select("event_id", "metric_name", _r("total", 4), _r("label_total", 4))
+
+
+@query(sql("metrics", "SELECT metric_name, count(*) AS points, arg_max(value, (ts, event_id)) AS latest FROM metrics GROUP BY 1"))
+def metric_summary(spark, sf_dir):
+    return src.metrics(spark, sf_dir).groupBy("metric_name").agg(F.count("*").alias("points"), F.max_by("value", F.struct("ts", "event_id")).alias("latest"))
+
+
+@query(sql("metrics", "SELECT metric_name, latest, CASE WHEN metric_name = 'error' AND latest >= 100 THEN 'critical' WHEN metric_name = 'error' AND latest >= 1 THEN 'warning' WHEN metric_name = 'view' AND latest >= 50 THEN 'critical' WHEN metric_name = 'view' AND latest >= 5 THEN 'warning' ELSE 'ok' END AS status FROM (SELECT metric_name, arg_max(value, (ts, event_id)) AS latest FROM metrics GROUP BY 1)"))
+def metric_health(spark, sf_dir):
+    return monitoring.health(src.metrics(spark, sf_dir), {"error": (1.0, 100.0), "view": (5.0, 50.0)})
+
+
+@query(sql("metrics", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY metric_name ORDER BY ts, event_id), 6) AS delta FROM metrics"))
+def metric_deltas(spark, sf_dir):
+    return monitoring.deltas(src.metrics(spark, sf_dir)).select("event_id", _r("delta"))
+
+
+@query()
+def metric_exposition(spark, sf_dir):
+    return monitoring.exposition(src.metrics(spark, sf_dir))
+
+
+@query(sql("perf", "SELECT endpoint, count(*) AS requests, count(*) FILTER (WHERE status_code >= 400) AS errors, round(avg(response_time), 6) AS mean_ms, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE status_code >= 400) / greatest(count(*), 1) AS error_rate FROM perf GROUP BY 1"))
+def perf_error_rate(spark, sf_dir):
+    return monitoring.error_rates(src.perf(spark, sf_dir)).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+@query("SELECT day::VARCHAR AS day, new_users, sum(new_users) OVER (ORDER BY day)::BIGINT AS users FROM (SELECT d AS day, count(*) AS new_users FROM (SELECT user_id, min(ts)::DATE AS d FROM events GROUP BY 1) GROUP BY 1)")
+def active_users_cumulative(spark, sf_dir):
+    return monitoring.cumulative_users(_t(spark, sf_dir, "events")).withColumn("day", F.col("day").cast("string"))
+
+
+# ---- graph
+
+@query(sql("follows", f"SELECT a.dst FROM follows a JOIN follows b ON a.dst = b.dst WHERE a.src = {USER} AND b.src = {OTHER}"))
+def graph_mutual(spark, sf_dir):
+    return graph.mutual(src.follows(spark, sf_dir), USER, OTHER)
+
+
+@query(sql("follows", "SELECT c_custkey AS id, count(src) AS followers FROM customer LEFT JOIN follows ON dst = c_custkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+def graph_influencers(spark, sf_dir):
+    return graph.influencers(_users(spark, sf_dir), src.follows(spark, sf_dir), 10)
+
+
+@query(sql("follows", f"SELECT b.dst, count(*) AS score FROM follows a JOIN follows b ON a.dst = b.src WHERE a.src = {USER} AND b.dst <> {USER} AND b.dst NOT IN (SELECT dst FROM follows WHERE src = {USER}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+def graph_recommend(spark, sf_dir):
+    return graph.recommend(src.follows(spark, sf_dir), USER, 10)
+
+
+@query(sql("follows", "SELECT c_custkey AS id, count(e) AS degree FROM customer LEFT JOIN (SELECT src AS e FROM follows UNION ALL SELECT dst FROM follows) ON e = c_custkey GROUP BY 1"))
+def graph_degree(spark, sf_dir):
+    return graph.degrees(_users(spark, sf_dir), src.follows(spark, sf_dir))
+
+
+@query(sql("posts tagged", "SELECT tag, count(*) AS usage FROM tagged JOIN posts ON post = post_id WHERE published_at > (SELECT max(published_at) FROM posts) - INTERVAL '365 days' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"))
+def graph_trending_tags(spark, sf_dir):
+    return graph.trending(src.posts(spark, sf_dir), src.tagged(spark, sf_dir), 365, 10)
+
+
+@query(sql("posts tagged likes shares follows", f"""SELECT author, posts, likes, coalesce(s, 0) AS shares, followers, round(likes + 2 * coalesce(s, 0) + 0.1 * followers, 6)::DOUBLE AS score FROM
+ (SELECT author, count(*) AS posts, coalesce(sum(l), 0)::BIGINT AS likes FROM posts JOIN tagged ON tagged.post = post_id AND tag = '{TAG}' LEFT JOIN (SELECT post AS lp, count(*) AS l FROM likes GROUP BY 1) ON lp = post_id GROUP BY 1)
+ LEFT JOIN (SELECT dst AS sa, count(*) AS s FROM shares GROUP BY 1) ON sa = author JOIN (SELECT dst AS fa, count(*) AS followers FROM follows GROUP BY 1) ON fa = author ORDER BY score DESC, author LIMIT 10"""))
+def graph_kol(spark, sf_dir):
+    out = graph.opinion_leaders(TAG, src.posts(spark, sf_dir), src.tagged(spark, sf_dir), src.likes(spark, sf_dir), src.shares(spark, sf_dir), src.follows(spark, sf_dir), 10)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(sql("posts likes follows", """SELECT id, followers, following, posts, distinct_likers, round(0.4 * followers + 0.3 * followers / (following + 1) + 0.3 * distinct_likers / (posts + 1), 6)::DOUBLE AS score FROM
+ (SELECT c_custkey AS id, (SELECT count(*) FROM follows WHERE dst = c_custkey) AS followers, (SELECT count(*) FROM follows WHERE src = c_custkey) AS following, (SELECT count(*) FROM posts WHERE author = c_custkey) AS posts,
+ (SELECT count(DISTINCT "user") FROM likes JOIN posts ON post = post_id WHERE author = c_custkey) AS distinct_likers FROM customer)"""))
+def graph_user_influence(spark, sf_dir):
+    out = graph.user_influence(_users(spark, sf_dir), src.follows(spark, sf_dir), src.posts(spark, sf_dir), src.likes(spark, sf_dir))
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(sql("shares", f"""SELECT count(*) AS paths, max(d)::INT AS max_depth, round(avg(d), 6) AS avg_depth FROM (SELECT 1 AS d FROM shares WHERE dst = {USER}
+ UNION ALL SELECT 2 FROM shares a JOIN shares b ON b.dst = a.src WHERE a.dst = {USER} AND (a.src, a.dst) <> (b.src, b.dst)
+ UNION ALL SELECT 3 FROM shares a JOIN shares b ON b.dst = a.src JOIN shares c ON c.dst = b.src WHERE a.dst = {USER} AND (a.src, a.dst) <> (b.src, b.dst) AND (c.src, c.dst) <> (a.src, a.dst) AND (c.src, c.dst) <> (b.src, b.dst))"""))
+def graph_spread(spark, sf_dir):
+    return graph.spread(src.shares(spark, sf_dir), USER).withColumn("avg_depth", F.round("avg_depth", 6))
+
+
+@query("WITH RECURSIVE " + sql("shares", "").removeprefix("WITH ").rstrip() + f", e AS (SELECT src, dst FROM shares UNION SELECT dst, src FROM shares), b(id, hops) AS (SELECT {USER}::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM b JOIN e ON e.src = b.id WHERE hops < 6) SELECT id, min(hops)::INT AS hops FROM b GROUP BY 1")
+def graph_shortest_path_len(spark, sf_dir):
+    return graph.hops(src.shares(spark, sf_dir), USER)
+
+
+@query("WITH RECURSIVE " + sql("wait_for", "").removeprefix("WITH ").rstrip() + ", e AS (SELECT src, dst FROM wait_for UNION SELECT dst, src FROM wait_for), r(id, o) AS (SELECT src, src FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.o) SELECT id, min(o) AS component FROM r GROUP BY 1")
+def graph_wcc(spark, sf_dir):
+    return graph.weak_components(src.wait_for(spark, sf_dir))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = [src.VIEW_SQL["follows"], "SELECT src AS s, count(*) AS d FROM follows GROUP BY 1", "SELECT c_custkey AS id, 1.0::DOUBLE / (SELECT count(*) FROM customer) AS rank FROM customer"]
+    names = ["follows", "deg", "r0"]
+    for i in range(1, rounds + 1):
+        names.append(f"r{i}")
+        parts.append(f"SELECT c_custkey AS id, 0.15 / (SELECT count(*) FROM customer) + 0.85 * (coalesce(g, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE id NOT IN (SELECT s FROM deg)) / (SELECT count(*) FROM customer)) AS rank FROM customer LEFT JOIN (SELECT dst, sum(rank / d) AS g FROM follows JOIN deg ON s = src JOIN r{i - 1} ON id = src GROUP BY 1) ON dst = c_custkey")
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({p})" for n, p in zip(names, parts)) + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_pagerank_sql(10))
+def graph_pagerank(spark, sf_dir):
+    return graph.pagerank(_users(spark, sf_dir), src.follows(spark, sf_dir)).select("id", _r("rank", 9))
+
+
+@query()
+def graph_communities(spark, sf_dir):
+    return graph.communities(src.shares(spark, sf_dir))
+
+
+@query()
+def graph_betweenness(spark, sf_dir):
+    return graph.betweenness(src.wait_for(spark, sf_dir), list(range(40))).select("id", _r("betweenness"))
+
+
+# ---- batch
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+')) AS word FROM conversations) WHERE word <> '' GROUP BY 1")
+def batch_word_count(spark, sf_dir):
+    return batch.word_count(_t(spark, sf_dir, "conversations"))
+
+
+@query(sql("perf", "SELECT status_code::VARCHAR AS status, count(*) AS n FROM perf GROUP BY 1"))
+def batch_log_status(spark, sf_dir):
+    return batch.log_status(src.log_lines(spark, sf_dir))
+
+
+@query(sql("sales", "SELECT region, round(sum(amount), 2) AS amount FROM sales GROUP BY 1"))
+def batch_sales_by_region(spark, sf_dir):
+    return batch.sales_by_region(src.sales(spark, sf_dir)).select("region", _r("amount", 2))
+
+
+@query("SELECT user_id::VARCHAR AS user_id, count(*) AS n FROM events GROUP BY 1")
+def batch_user_activity(spark, sf_dir):
+    return batch.activity_by_user(_t(spark, sf_dir, "events"))
+
+
+@query("SELECT event_type AS key, round(avg(value), 6) AS result FROM events GROUP BY 1")
+def batch_generic_mapreduce(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_type", "value")
+    add = lambda a, b: (a[0] + b[0], a[1] + b[1])
+    out = batch.map_reduce(e, lambda r: [(r[0], r[1])], lambda v: (v, 1), lambda a, v: (a[0] + v, a[1] + 1), add, lambda k, a: a[0] / a[1], "key string, result double")
+    return out.select("key", _r("result"))
+
+
+@query("SELECT c_custkey AS id, replace(replace(c_name, 'CUSTOMER', 'Customer'), 'customer', 'Customer') AS name, lower(c_name || '@MAIL.COM') AS email, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 90)::INT END AS age FROM customer WHERE c_custkey % 11 <> 0")
+def etl_clean(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    age = F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise((F.col("c_custkey") % 90).cast("string"))
+    raw = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 11 == 0, "").otherwise(F.upper("c_name")).alias("name"), F.concat("c_name", F.lit("@MAIL.COM")).alias("email"), age.alias("age"))
+    return batch.clean_users(raw)
+
+
+@query("SELECT 'balance' AS rule, count(*) FILTER (WHERE NOT coalesce(c_acctbal >= 0, false)) AS rows FROM customer UNION ALL SELECT 'segment', count(*) FILTER (WHERE c_mktsegment IS NULL OR c_mktsegment = '') FROM customer UNION ALL SELECT 'orphan orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'repeated lines', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+def dq_violations(spark, sf_dir):
+    c, o, li = (_t(spark, sf_dir, x) for x in ("customer", "orders", "lineitem"))
+    found = batch.violations(c, {"balance": "c_acctbal >= 0", "segment": "c_mktsegment <> ''"})
+    lost = batch.orphans(o, "o_custkey", c, "c_custkey").agg(F.lit("orphan orders").alias("rule"), F.count("*").alias("rows"))
+    twice = batch.duplicates(li, ["l_orderkey", "l_linenumber"]).agg(F.lit("repeated lines").alias("rule"), F.count("*").alias("rows"))
+    return found.unionAll(lost).unionAll(twice)
+
+
+# ---- relational and documents
+
+@query("SELECT conv_id, turn, (turn - min(turn) OVER (PARTITION BY conv_id, g))::INT AS depth FROM (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn FROM conversations))")
+def comment_tree_depth(spark, sf_dir):
+    return relational.tree_depth(_t(spark, sf_dir, "conversations"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE c_mktsegment || ' ' || c_name END AS full_name FROM customer")
+def profile_full_name(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    first, last = F.when(k == 0, "").otherwise(F.col("c_mktsegment")), F.when(k == 2, F.col("c_name"))
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), fn.full_name(first, last, F.col("c_name")).alias("full_name"))
+
+
+@query("SELECT user_id, round(CASE WHEN views = 0 THEN 0.0 ELSE (c + p + s + e) / views END, 6) AS rate FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'purchase') AS p, count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY 1)")
+def doc_engagement(spark, sf_dir):
+    n = {x: F.count_if(F.col("event_type") == x).alias(x) for x in ("view", "click", "purchase", "signup", "error")}
+    e = _t(spark, sf_dir, "events").groupBy("user_id").agg(*n.values())
+    return e.select("user_id", F.round(fn.engagement_rate(F.col("click"), F.col("purchase"), F.col("signup"), F.col("error"), F.col("view")), 6).alias("rate"))
+
+
+@query("SELECT o_orderkey AS post_id, c_name AS author_name, c_mktsegment AS segment FROM orders JOIN customer ON c_custkey = o_custkey")
+def posts_with_author(spark, sf_dir):
+    users = _t(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey"))
+    return relational.with_author(src.posts(spark, sf_dir), users).select("post_id", F.col("author_row.c_name").alias("author_name"), F.col("author_row.c_mktsegment").alias("segment"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 20 OFFSET 20")
+def doc_find_many(spark, sf_dir):
+    return relational.find_many(_t(spark, sf_dir, "customer"), {"c_mktsegment": "BUILDING"}, "c_custkey", 20, 20).select("c_custkey", "c_name")
+
+
+@query("SELECT event_type, count(*) AS total, (count(*) + 19) // 20 AS pages FROM events GROUP BY 1")
+def page_counts(spark, sf_dir):
+    n = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("total"))
+    return n.withColumn("pages", fn.pages(F.col("total"), 20))
+
+
+_GEO = "SELECT c_custkey AS id, radians((c_custkey % 180) - 90) AS a, radians((c_custkey * 7 % 360) - 180) AS o FROM customer"
+
+
+@query(f"SELECT x.id, round(2 * 6371.0 * atan2(sqrt(h), sqrt(1 - h)), 3) AS km FROM (SELECT p.id, pow(sin((q.a - p.a) / 2), 2) + cos(p.a) * cos(q.a) * pow(sin((q.o - p.o) / 2), 2) AS h FROM ({_GEO}) p JOIN ({_GEO}) q ON q.id = p.id + 1) x")
+def geo_haversine(spark, sf_dir):
+    c = F.col("c_custkey")
+    g = _t(spark, sf_dir, "customer").select(c.alias("id"), ((c % 180) - 90).cast("double").alias("lat"), ((c * 7 % 360) - 180).cast("double").alias("lon"))
+    q = g.select((F.col("id") - 1).alias("id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return g.join(q, "id").select("id", F.round(fn.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3).alias("km"))
+
+
+# ---- key-value store
+
+_LATEST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM kv_log) WHERE rn = 1 AND NOT deleted"
+
+
+@query(sql("kv_log", f"SELECT key, value, ts, seq FROM ({_LATEST})"))
+def kv_latest(spark, sf_dir):
+    return kv.latest(src.kv_log(spark, sf_dir))
+
+
+@query(sql("kv_log", f"SELECT key, value, ts, seq FROM ({_LATEST}) WHERE key >= 'user:10' AND key <= 'user:50'"))
+def kv_range_scan(spark, sf_dir):
+    return kv.scan(src.kv_log(spark, sf_dir), "user:10", "user:50")
+
+
+@query("SELECT level, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT o_orderkey * 37 AS size, CASE WHEN o_orderkey <= 0 THEN 0 ELSE trunc(log2(o_orderkey * 37 / 1024.0))::INT END AS level FROM orders) GROUP BY 1 HAVING count(*) >= 4")
+def kv_compaction_plan(spark, sf_dir):
+    return kv.compaction_plan(_t(spark, sf_dir, "orders").select((F.col("o_orderkey") * 37).alias("size")))
+
+
+@query("SELECT c_custkey AS id, true AS maybe FROM customer WHERE c_custkey % 10 = 0")
+def kv_bloom_members(spark, sf_dir):
+    """Every member is found: a Bloom filter has no false negatives."""
+    ids = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("item"))
+    bits, hashes = fn.bloom_shape(10_000, 0.01)
+    members = ids.where(F.col("item").cast("long") % 10 == 0)
+    return kv.bloom_contains(members, "item", kv.bloom(members, "item", bits, hashes), bits, hashes).select(F.col("item").cast("long").alias("id"), "maybe")
+
+
+# ---- partitioning
+
+@query(f"SELECT (('0x' || md5(c_name))::UHUGEINT % {NODES + 3})::INT AS pid, count(*) AS records FROM customer GROUP BY 1")
+def part_hash_mod(spark, sf_dir):
+    return partitioning.distribution(partitioning.by_hash_mod(_t(spark, sf_dir, "customer"), F.col("c_name"), NODES + 3))
+
+
+@query("SELECT least(('0x' || right(md5(c_name), 8))::UBIGINT // 268435456, 15)::INT AS pid, count(*) AS records FROM customer GROUP BY 1")
+def part_hash_range(spark, sf_dir):
+    return partitioning.distribution(partitioning.by_hash_range(_t(spark, sf_dir, "customer"), F.col("c_name"), 16))
+
+
+@query("SELECT (CASE WHEN o_totalprice >= 50000 THEN 1 ELSE 0 END + CASE WHEN o_totalprice >= 150000 THEN 1 ELSE 0 END + CASE WHEN o_totalprice >= 300000 THEN 1 ELSE 0 END)::INT AS pid, count(*) AS records FROM orders GROUP BY 1")
+def part_range(spark, sf_dir):
+    return partitioning.distribution(partitioning.by_range(_t(spark, sf_dir, "orders"), F.col("o_totalprice"), [50000.0, 150000.0, 300000.0]))
+
+
+def _ring_sql(nodes: int, name: str) -> str:
+    return f"ring{name} AS (SELECT pos, max(node) AS node FROM (SELECT 'node' || n AS node, ('0x' || right(md5('node' || n || ':' || i), 8))::BIGINT AS pos FROM range({nodes}) t(n), range(256) u(i)) GROUP BY 1), k{name} AS (SELECT c_custkey AS id, ('0x' || right(md5(c_name), 8))::BIGINT AS h FROM customer), p{name} AS (SELECT id, coalesce((SELECT min(pos) FROM ring{name} WHERE pos > h), (SELECT min(pos) FROM ring{name})) AS pos FROM k{name}), a{name} AS (SELECT id, node FROM p{name} JOIN ring{name} USING (pos))"
+
+
+@query(f"WITH {_ring_sql(NODES, 'x')} SELECT id, node FROM ax")
+def part_ring(spark, sf_dir):
+    out = partitioning.by_ring(_t(spark, sf_dir, "customer"), F.col("c_name"), [f"node{i}" for i in range(NODES)])
+    return out.select(F.col("c_custkey").alias("id"), "node")
+
+
+@query(f"WITH {_ring_sql(NODES, 'x')}, {_ring_sql(NODES + 1, 'y')} SELECT ax.id, ax.node AS from_node, ay.node AS to_node FROM ax JOIN ay ON ax.id = ay.id WHERE ax.node <> ay.node")
+def part_ring_move(spark, sf_dir):
+    names = [f"node{i}" for i in range(NODES + 1)]
+    out = partitioning.moves(_t(spark, sf_dir, "customer"), F.col("c_name"), names[:-1], names)
+    return out.select(F.col("c_custkey").alias("id"), "from_node", "to_node")
+
+
+@query()
+def part_ring_replicas(spark, sf_dir):
+    out = partitioning.replicas(_t(spark, sf_dir, "customer"), F.col("c_name"), [f"node{i}" for i in range(NODES)])
+    return out.select(F.col("c_custkey").alias("id"), F.array_join("nodes", ",").alias("nodes"))
+
+
+@query(f"WITH c AS (SELECT count(*) AS records FROM customer GROUP BY ('0x' || md5(c_name))::UHUGEINT % {NODES}) SELECT max(records) AS hi, min(records) AS lo, round((max(records) - min(records)) / avg(records), 6) AS imbalance, (max(records) - min(records)) / avg(records) <= 0.5 AS balanced, round(1 - (max(records) - min(records)) / max(records), 6) AS score FROM c")
+def part_balance(spark, sf_dir):
+    return partitioning.balance(partitioning.distribution(partitioning.by_hash_mod(_t(spark, sf_dir, "customer"), F.col("c_name"), NODES)))
+
+
+@query("WITH n AS (SELECT (('0x' || md5(l_partkey::VARCHAR))::UHUGEINT % 16)::INT AS pid, count(*) FILTER (WHERE l_returnflag = 'R') AS reads, count(*) FILTER (WHERE l_returnflag = 'A') AS writes FROM lineitem GROUP BY 1) SELECT pid, reads, writes, 'read' AS kind FROM n WHERE reads > 1000 UNION ALL SELECT pid, reads, writes, 'write' FROM n WHERE writes > 500")
+def part_hotspots(spark, sf_dir):
+    ops = src.tx_ops(spark, sf_dir).select(F.col("resource").cast("string").alias("key"), F.col("type").alias("op"))
+    return partitioning.hotspots(partitioning.by_hash_mod(ops, F.col("key"), 16))
+
+
+@query(f"WITH c AS (SELECT count(*) AS records FROM orders GROUP BY ('0x' || md5(o_orderkey::VARCHAR))::UHUGEINT % {NODES}) SELECT sum(records)::BIGINT AS total, count(*) AS nodes, CASE WHEN sum(records) / count(*) > 10000 THEN 'scale_out' WHEN sum(records) / count(*) < 1000 AND count(*) > 1 THEN 'scale_in' ELSE 'none' END AS action, CASE WHEN sum(records) / count(*) > 10000 THEN greatest(1, sum(records) // 10000 - count(*)) WHEN sum(records) / count(*) < 1000 AND count(*) > 1 THEN greatest(1, sum(records) // 1000) ELSE 0 END::BIGINT AS count FROM c")
+def part_scaling(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
+    out = partitioning.suggest_scaling(partitioning.distribution(partitioning.by_hash_mod(o, F.col("key"), NODES)))
+    return out.withColumn("count", F.col("count").cast("bigint"))
+
+
+# ---- transactions and replication
+
+def _versions(spark, sf_dir):
+    w = Window.partitionBy("key").orderBy("ts", "seq")
+    return src.kv_log(spark, sf_dir).select("key", "value", "seq", F.col("seq").alias("transaction"), F.row_number().over(w).alias("version"), (F.col("o_orderstatus") != "O").alias("committed"))
+
+
+_VERSIONS = "versions AS (SELECT key, value, seq, seq AS transaction, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS version, o_orderstatus <> 'O' AS committed FROM kv_log)"
+
+
+@query(sql("kv_log", "").rstrip() + f", {_VERSIONS} SELECT key, arg_max(value, version) AS value, max(version)::INT AS version FROM versions WHERE committed GROUP BY 1")
+def iso_read_committed(spark, sf_dir):
+    return txn.read_committed(_versions(spark, sf_dir))
+
+
+@query(sql("kv_log", "").rstrip() + f", {_VERSIONS} SELECT key, arg_max(value, version) AS value, max(version)::INT AS version FROM versions GROUP BY 1")
+def iso_read_uncommitted(spark, sf_dir):
+    return txn.read_uncommitted(_versions(spark, sf_dir))
+
+
+@query(sql("kv_log", "").rstrip() + f""", {_VERSIONS}, reads AS (SELECT seq // 500 AS tx, key, seq FROM kv_log), now AS (SELECT r.tx, r.key, r.seq, max(v.version) AS visible FROM reads r LEFT JOIN versions v ON v.key = r.key AND v.seq < r.seq AND (v.committed OR v.transaction = r.tx) GROUP BY ALL)
+ SELECT tx, key, seq, first_value(visible IGNORE NULLS) OVER (PARTITION BY tx, key ORDER BY seq ROWS UNBOUNDED PRECEDING)::INT AS version FROM now""")
+def iso_repeatable_read(spark, sf_dir):
+    reads = src.kv_log(spark, sf_dir).select(F.floor(F.col("seq") / 500).alias("tx"), "key", "seq")
+    return txn.repeatable_read(reads, _versions(spark, sf_dir))
+
+
+@query(sql("tx_ops", "SELECT r.tx AS reader, w.tx AS writer, count(*) AS resources FROM (SELECT DISTINCT tx, resource FROM tx_ops WHERE type = 'read') r JOIN (SELECT DISTINCT tx, resource FROM tx_ops WHERE type = 'write') w ON r.resource = w.resource AND r.tx <> w.tx GROUP BY 1, 2"))
+def iso_conflicts(spark, sf_dir):
+    return txn.conflicts(src.tx_ops(spark, sf_dir))
+
+
+@query(sql("tx_ops", "SELECT resource, arg_max(l_extendedprice, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS value FROM tx_ops WHERE type <> 'read' AND tx % 5 <> 0 GROUP BY 1 HAVING arg_max(type, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) = 'write'"))
+def txn_commit_state(spark, sf_dir):
+    ops = src.tx_ops(spark, sf_dir).withColumnRenamed("l_extendedprice", "value")
+    aborted = ops.where("tx % 5 = 0").select("tx").distinct()
+    return txn.commit_state(ops, aborted).select("resource", "value")
+
+
+@query("SELECT l_orderkey AS tx, bool_and(l_quantity < 49) AS committed, count(*) AS participants FROM lineitem GROUP BY 1")
+def txn_2pc_outcome(spark, sf_dir):
+    return txn.two_phase_outcome(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), (F.col("l_quantity") < 49).alias("vote")))
+
+
+@query(sql("kv_log", "SELECT key, value, seq FROM kv_log WHERE seq <= 500 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1 AND NOT deleted"))
+def replica_state_as_of(spark, sf_dir):
+    return txn.replica_state(src.kv_log(spark, sf_dir), 500)
+
+
+@query("WITH RECURSIVE " + sql("wait_for", "").removeprefix("WITH ").rstrip() + ", p(start, cur, path, done) AS (SELECT src, dst, [src, dst], false FROM wait_for WHERE dst > src UNION ALL SELECT start, e.dst, CASE WHEN e.dst = start THEN path ELSE list_append(path, e.dst) END, e.dst = start FROM p JOIN wait_for e ON e.src = cur WHERE NOT done AND (e.dst = start OR (e.dst > start AND NOT list_contains(path, e.dst) AND len(path) < 4))) SELECT array_to_string(path, '>') AS cycle, list_max(path) AS victim FROM p WHERE done")
+def deadlock_cycles(spark, sf_dir):
+    found = graph.cycles(src.wait_for(spark, sf_dir), 4)
+    return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), F.array_max("path").alias("victim"))
+
+
+@query("SELECT key, arg_max(value, (ts, seq)) AS value FROM (" + src.VIEW_SQL["kv_log"] + ") GROUP BY 1")
+def lww_resolve(spark, sf_dir):
+    return txn.last_write_wins(src.kv_log(spark, sf_dir))
+
+
+@query("SELECT user_id AS key, sum(n)::BIGINT AS n FROM (SELECT user_id, event_type, max(event_id) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def crdt_gcounter(spark, sf_dir):
+    return txn.gcounter(_t(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("replica"), F.col("event_id").alias("n")))
+
+
+# ---- event patterns, joins and streams
+
+@query(sql("activity", "SELECT DISTINCT a.user_id FROM activity a JOIN activity b ON a.user_id = b.user_id AND a.action = 'login' AND b.action IN ('like_post', 'comment') AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '6 hours'"))
+def cep_login_then_interaction(spark, sf_dir):
+    return relational.followed_by(src.activity(spark, sf_dir), "login", ["like_post", "comment"], 6 * 3600)
+
+
+def _interval_sql(left: str, right: str, seconds: int) -> str:
+    return f"FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = '{left}' AND b.event_type = '{right}' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= {seconds * 1_000_000}"
+
+
+@query("SELECT a.event_id AS left_id, b.event_id AS right_id " + _interval_sql("click", "purchase", 21600))
+def interval_join(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    out = relational.interval_join(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "user_id", 21600)
+    return out.select(F.col("l.event_id").alias("left_id"), F.col("r.event_id").alias("right_id"))
+
+
+def _stream(spark, sf_dir):
+    return topology.file_stream(spark, f"{sf_dir}/events.parquet")
+
+
+def _folder(spark) -> str:
+    """A place of its own for a streaming query, in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="lakeloom-stream-")
+    return f"{base}/streams/{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    out = topology.tumbling(_stream(spark, sf_dir), ["event_type"], "5 minutes").drop("window_end")
+    out = topology.run_to_table(out, _folder(spark), "update", "event_type,window_start")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", _r("total", 4))
+
+
+@query("SELECT event_type, s AS window_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '60 seconds', ts) - i * INTERVAL '60 seconds' FOR i IN range(5)]) AS s FROM events) GROUP BY ALL")
+def stream_sliding(spark, sf_dir):
+    out = topology.tumbling(_stream(spark, sf_dir), ["event_type"], "300 seconds", slide="60 seconds").drop("window_end")
+    out = topology.run_to_table(out, _folder(spark), "update", "event_type,window_start")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query(f"SELECT user_id, first_ts AS session_start, n FROM ({_SESSIONS})")
+def stream_session(spark, sf_dir):
+    out = topology.sessions(_stream(spark, sf_dir), ["user_id"], "6 hours")
+    out = topology.run_to_table(out, _folder(spark), "complete")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query("SELECT a.event_id AS left_id, b.event_id AS right_id " + _interval_sql("click", "purchase", 21600))
+def stream_interval_join(spark, sf_dir):
+    e = _stream(spark, sf_dir)
+    out = topology.join_within(e.where("event_type = 'click'"), _stream(spark, sf_dir).where("event_type = 'purchase'"), "user_id", "6 hours")
+    return topology.run_to_table(out, _folder(spark)).select("left_id", "right_id")
+
+
+@query("SELECT user_id::VARCHAR AS key, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_fold(spark, sf_dir):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = topology.fold(_stream(spark, sf_dir), "user_id", lambda a, v: a + v)
+    return topology.run_to_table(out, _folder(spark), "update", "key").select("key", _r("total", 4))
+
+
+# ---- search
+
+_WORDS = "SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+')) AS word FROM documents"
+
+
+@query(f"WITH h AS (SELECT word, doc_id, count(*) AS tf FROM ({_WORDS}) WHERE word IN ('that', 'with', 'tion') GROUP BY 1, 2) SELECT doc_id, round(sum(tf * ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS score FROM h JOIN (SELECT word AS w, count(*) AS df FROM h GROUP BY 1) ON w = word GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20")
+def search_inverted_topk(spark, sf_dir):
+    return search.ranked(_t(spark, sf_dir, "documents"), ["that", "with", "tion"], 20)
+
+
+@query(f"SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS n FROM ({_WORDS}) WHERE word <> '' GROUP BY 1")
+def search_postings(spark, sf_dir):
+    return search.postings(_t(spark, sf_dir, "documents")).groupBy("word").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
+
+
+@query("SELECT b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id = 7 AND b.vec_id <> 7 ORDER BY cosine DESC, vec_id LIMIT 10")
+def sim_cosine_topk(spark, sf_dir):
+    return search.cosine_neighbours(_t(spark, sf_dir, "embeddings"), 7, 10)
+
+
+# ---- plain relational coverage
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+def b_pricing_summary(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def b_rollup(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, c_custkey, c_acctbal, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)::INT AS place FROM customer QUALIFY place <= 3")
+def b_rank(spark, sf_dir):
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return _t(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.rank().over(w).alias("place")).where("place <= 3")
+
 
-def ts_downsample_avg_5m(spark, sf_dir: str):
-    """Events by type in five-minute buckets: mean and count."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    out = events.groupBy("event_type", F.window("ts", "5 minutes").alias("w")).agg(F.round(F.avg("value"), 6).alias("avg_value"), F.count("*").alias("n"))
-    return out.select("event_type", F.col("w.start").alias("bucket"), "avg_value", "n")
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+def b_setops(spark, sf_dir):
+    c, s, n = (_t(spark, sf_dir, x) for x in ("customer", "supplier", "nation"))
+    return c.select(F.col("c_nationkey").alias("k")).intersect(s.select("s_nationkey")).subtract(n.where("n_regionkey = 0").select("n_nationkey"))
 
 
-QUERIES = {"ts_downsample_avg_5m": ts_downsample_avg_5m}
-ORACLE_SQL = {
-    "ts_downsample_avg_5m": """
-        SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS bucket, round(avg(value), 6) AS avg_value, count(*) AS n
-        FROM events GROUP BY 1, 2
-    """
-}
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS has_final FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def b_semi_anti(spark, sf_dir):
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    without = c.join(o.where("o_orderstatus = 'P'"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    final = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("f", F.lit(True))
+    return without.join(final, "c_custkey", "left").select("c_custkey", F.coalesce("f", F.lit(False)).alias("has_final"))
