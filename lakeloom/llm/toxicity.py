@@ -126,10 +126,13 @@ def tag(tokens: list[list[bytes]], emissions: Emissions, steps: np.ndarray) -> t
 
 
 def summary(p: np.ndarray) -> tuple[float, float, float]:
-    """What a document's marginals amount to: log of their sum, log of their density, their maximum."""
+    """What a document's marginals amount to: log of their sum, log of their density, their maximum.
+
+    Only likely tokens add up, so many unlikely ones make no long text toxic.
+    """
     if not len(p):
         return 0.0, 0.0, 0.0
-    total = float(p.sum())
+    total = float(p[p >= 0.5].sum())
     return float(np.log1p(total)), float(np.log1p(1000 * total / len(p))), float(p.max())
 
 
