@@ -46,64 +46,76 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting = [-1] * n  # the rank under which the pair that begins here waits
+    # the rank under which the pair that begins here waits; None if it can't merge
+    waiting = [get(piece[i : i + 2]) for i in range(n)]
+    waiting[-1] = None
     buckets: dict[int, list[int]] = {}
     low: dict[int, int] = {}
     top = 0
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
+    for i, rank in enumerate(waiting):
         if rank is not None:
-            waiting[i] = rank
             if rank in buckets:
                 buckets[rank].append(i)  # positions rise: the list is a heap already
             else:
                 buckets[rank] = [i]
                 word = rank >> 8
-                low[word] = low.get(word, 0) | 1 << (rank & 255)
-                top |= 1 << word
+                if word in low:
+                    low[word] |= 1 << (rank & 255)
+                else:
+                    low[word] = 1 << (rank & 255)
+                    top |= 1 << word
     while top:
         # find first set, word by word
         word = (top & -top).bit_length() - 1
         bits = low[word]
-        rank = word << 8 | ((bits & -bits).bit_length() - 1)
+        first = bits & -bits
+        rank = (word << 8) + first.bit_length() - 1
         bucket = buckets[rank]
         if len(bucket) > 1:
             i = heappop(bucket)
         else:
             i = bucket[0]
             del buckets[rank]
-            low[word] = bits = bits & (bits - 1)
-            if not bits:
+            if bits == first:
+                del low[word]
                 top &= top - 1
+            else:
+                low[word] = bits ^ first
         if waiting[i] != rank:  # stale: the pair has changed since
             continue
         j = end[i]
         stop = end[i] = end[j]
-        waiting[j] = -1
-        waiting[i] = -1
-        made = ()
+        waiting[j] = None
         if stop < n:
             before[stop] = i
-            rank = get(piece[i : end[stop]])
+            rank = waiting[i] = get(piece[i : end[stop]])
             if rank is not None:
-                waiting[i] = rank
-                made = ((rank, i),)
-        h = before[i]
-        if h >= 0:
-            rank = get(piece[h:stop])
-            if rank is None:
-                waiting[h] = -1
-            else:
-                waiting[h] = rank
-                made += ((rank, h),)
-        for rank, at in made:
-            if rank in buckets:
-                heappush(buckets[rank], at)
-            else:
-                buckets[rank] = [at]
-                word = rank >> 8
-                low[word] = low.get(word, 0) | 1 << (rank & 255)
-                top |= 1 << word
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 8
+                    if word in low:
+                        low[word] |= 1 << (rank & 255)
+                    else:
+                        low[word] = 1 << (rank & 255)
+                        top |= 1 << word
+        else:
+            waiting[i] = None
+        if i:
+            h = before[i]
+            rank = waiting[h] = get(piece[h:stop])
+            if rank is not None:
+                if rank in buckets:
+                    heappush(buckets[rank], h)
+                else:
+                    buckets[rank] = [h]
+                    word = rank >> 8
+                    if word in low:
+                        low[word] |= 1 << (rank & 255)
+                    else:
+                        low[word] = 1 << (rank & 255)
+                        top |= 1 << word
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
