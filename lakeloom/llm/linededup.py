@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, batches, column, small_batches, table
 
@@ -201,15 +202,21 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     found = deletions(df, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("sources").alias("__sources"))
 
-    @F.pandas_udf("string")
-    def rewrite(texts, cuts):
-        return texts.combine(cuts, lambda x, c: cut_out(x.encode("utf-8", "surrogatepass"), list(c)).decode("utf-8", "surrogatepass"))
+    names = [c for c in df.columns if c not in ("lines_removed", "sources")]
 
-    joined = small_batches(df).join(found, F.col(doc_id) == F.col("__id"), "left")
-    changed = joined.where("__lines IS NOT NULL AND " + f"`{text}` IS NOT NULL").withColumn(text, rewrite(F.col(text).cast("string"), F.col("__lines")))
-    same = joined.where("__lines IS NULL OR " + f"`{text}` IS NULL")
-    out = changed.unionByName(same)
-    return out.withColumn("lines_removed", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("sources", F.coalesce("__sources", F.expr("cast(array() as array<bigint>)"))).drop("__id", "__lines", "__sources")
+    def rewrite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            cuts, texts = column(b, "__lines").to_pylist(), column(b, text)
+            if any(cuts):
+                kept = [cut_out(x.encode("utf-8", "surrogatepass"), c).decode("utf-8", "surrogatepass") if c and x is not None else x for x, c in zip(texts.to_pylist(), cuts)]
+                texts = pa.array(kept, texts.type)
+            gone = pa.array([len(c or ()) for c in cuts], pa.int64())
+            held = pa.array([x or [] for x in column(b, "__sources").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(texts if c == text else column(b, c) for c in names), gone, held], [*names, "lines_removed", "sources"])
+
+    joined = small_batches(df.select(*names)).join(found, F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    schema = T.StructType([*df.select(*names).schema, T.StructField("lines_removed", T.LongType()), T.StructField("sources", T.ArrayType(T.LongType()))])
+    return joined.mapInArrow(rewrite, schema)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
