@@ -58,20 +58,18 @@ class Model:
     steps: np.ndarray  # 2 x 2, log weights
     document: np.ndarray  # of (1, log sum, log density, maximum)
 
-    def emission(self, token: bytes) -> float:
-        return float(np.clip(self.bias + self.weights[features(normal(token))].sum(), -30, 30))
-
 
 class Emissions(dict):
     """Token -> emission, plus 1000 if a sentence ends with it; remembers a bounded number."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.weights, self.bias = model.weights.tolist(), float(model.bias)
 
     def __missing__(self, token: bytes) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self.model.emission(token) + 1000.0 * token.endswith(ENDS)
+        weights = self.weights
+        value = min(30.0, max(-30.0, self.bias + sum([weights[f] for f in features(normal(token))]))) + 1000.0 * token.endswith(ENDS)
         if len(token) <= 64:
             self[token] = value
         return value
