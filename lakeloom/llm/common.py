@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. A batch holds whole texts, so it is kept small for memory's sake.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 _made: list[tuple[object, str]] = []
 
