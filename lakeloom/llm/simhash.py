@@ -12,7 +12,6 @@ group once the sum exceeds the distance.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
