@@ -1,12 +1,14 @@
 """Line dedup by pairwise alignment.
 
 Lines are cut further where their words say so (at a word whose hash is the lowest of its
-neighbourhood), so a passage gives the same short lines wherever it stands. For each line
-that several documents share, the document with the smallest id holds the original. A later
-document is paired with the holders of its shared lines if these lines have enough words
-together: that is as many pairs as shared lines, however many documents share one, and a
-common short line alone makes no pair. Each pair's line hashes are aligned by patience diff;
-runs of aligned lines with enough words are deleted from the later document.
+neighbourhood), so a passage gives the same short lines wherever it stands. Single lines
+can be common, so documents meet through rare ones: the hash of each run of lines that just
+reaches BLOCK_WORDS. For each run that several documents share, the document with the
+smallest id holds the original, and a later document is paired with the holders of its runs:
+as many pairs as shared runs at most, however many documents share one, and none that has
+nothing to delete. Each pair's line hashes are aligned by patience diff; runs of aligned
+lines with enough words are deleted from the later document. What is left of it is aligned
+again until nothing more is found, so moved and repeated blocks go as well.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, batches, column, small_batches, table
 
-#: A word ends a line if its hash is below those of this many words on either side.
-REACH = 5
-#: Words that two documents' shared lines must have together, and words of a run that is deleted.
-PAIR_WORDS, BLOCK_WORDS = 18, 25
+#: A word ends a line if no word has a lower hash among this many on either side. Ties count, so that a passage of a few words over and over is cut too.
+REACH = 4
+#: Words of the runs of lines that pair documents, and of an aligned run that is deleted.
+BLOCK_WORDS = 25
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -44,9 +46,8 @@ def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = np.array(hashes, np.uint64)
     cut = np.ones(n, bool)
     for k in range(1, min(REACH + 1, n)):
-        lower = h[:-k] < h[k:]
-        cut[:-k] &= lower
-        cut[k:] &= ~lower & (h[:-k] != h[k:])
+        cut[:-k] &= h[:-k] <= h[k:]
+        cut[k:] &= h[k:] <= h[:-k]
     last = cut
     last[np.array(ends) - 1] = True
     ends = np.flatnonzero(last) + 1
@@ -59,10 +60,27 @@ def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), (ends - starts).astype(np.int32)
 
 
-def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Patience diff of two hash sequences: matched positions, rising in both."""
+def windows(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(key, end) of the shortest run of lines with `least` words from each line on, as far as there is one."""
+    total = np.cumsum(words, dtype=np.int64)
+    end = np.searchsorted(total, total - words + least) + 1
+    n = int(np.searchsorted(end, len(words), side="right"))
+    # prefix sums of a polynomial in an odd base; its inverse takes a run back to power zero
+    base = 0x9E3779B97F4A7C15
+    power, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.int64).view(np.uint64) * power[: len(words)])))
+    key = (prefix[end[:n]] - prefix[:n]) * back[:n]
+    key ^= key >> np.uint64(32)
+    return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), end[:n]
+
+
+def align(a: list, b: list) -> list[tuple[int, int]]:
+    """Patience diff of two hash sequences: matched positions, rising in both.
+
+    Where no line occurs once on both sides, the first occurrences are matched, the second
+    ones, and so on.
+    """
     out: list[tuple[int, int]] = []
-    a, b = a.tolist(), b.tolist()
     stack = [(0, len(a), 0, len(b))]
     while stack:
         i, m, j, n = stack.pop()
@@ -74,8 +92,11 @@ def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             out.append((m, n))
         if i == m or j == n:
             continue
-        once = _once(a, i, m)
-        pairs = [(once[x], q) for x, q in sorted(_once(b, j, n).items(), key=lambda t: t[1]) if x in once]
+        for places in (_once, _numbered):
+            known = places(a, i, m)
+            pairs = [(known[x], q) for x, q in sorted(places(b, j, n).items(), key=lambda t: t[1]) if x in known]
+            if pairs:
+                break
         anchors = _rising(pairs)
         p, q = i, j
         for x, y in anchors:
@@ -95,6 +116,16 @@ def _once(x: list[int], i: int, m: int) -> dict[int, int]:
     return {v: k for v, k in at.items() if k >= 0}
 
 
+def _numbered(x: list, i: int, m: int) -> dict[tuple, int]:
+    """The positions of x[i:m] by value and number of the occurrence."""
+    seen: dict = {}
+    at: dict[tuple, int] = {}
+    for k in range(i, m):
+        seen[x[k]] = seen.get(x[k], 0) + 1
+        at[x[k], seen[x[k]]] = k
+    return at
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest subsequence that rises in the first member, by patience sorting."""
     from bisect import bisect_left
@@ -118,13 +149,63 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def doomed(a: np.ndarray, b: np.ndarray, words: np.ndarray) -> list[int]:
-    """Lines of b, the later document, in aligned runs of at least BLOCK_WORDS words."""
+    """Lines of b, the later document, in aligned runs of at least BLOCK_WORDS words.
+
+    The alignment is repeated on what is left of b while that holds a run that a has too.
+    Repetitions of an aligned run within b go with it.
+    """
+    keys, ends = windows(b, words)
+    names, first = np.unique(b, return_index=True)
+    place = np.minimum(np.searchsorted(names, a), max(0, len(names) - 1))
+    # a line that b lacks ends a window of a: such a window equals none of b
+    sizes = np.where(names[place] == a, words[first[place]], BLOCK_WORDS) if len(names) else np.full(len(a), BLOCK_WORDS)
+    held, _ = windows(a, sizes)
+    common = np.isin(keys, held)
+    gone = np.zeros(len(b), bool)
+    earlier, later = a.tolist(), b.tolist()
+    while True:
+        taken = np.concatenate(([0], np.cumsum(gone)))
+        starts = np.flatnonzero(common & (taken[ends] == taken[: len(ends)]))
+        if not len(starts):
+            return np.flatnonzero(gone).tolist()
+        found = _aligned(earlier, [(k,) if out else x for k, (x, out) in enumerate(zip(later, gone))], words)
+        if not found:  # blocks cross each other: the first one by itself
+            found = _stretched(earlier, later, int(np.flatnonzero(held == keys[starts[0]])[0]), int(starts[0]), int(ends[starts[0]]))
+            common[starts[0]] = False
+        gone[found] = True
+        taken = np.concatenate(([0], np.cumsum(gone)))
+        whole = common & (taken[ends] - taken[: len(ends)] == ends - np.arange(len(ends)))
+        again = np.flatnonzero(np.isin(keys, keys[whole]))
+        gone |= _cover(again, ends[again], len(b))
+
+
+def _stretched(a: list, b: list, i: int, j: int, end: int) -> list[int]:
+    """Positions of b in the longest common run about b[j:end], which is a[i:] so far; none if it isn't."""
+    if a[i : i + end - j] != b[j:end]:
+        return []
+    while i and j and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+    while end < len(b) and i + end - j < len(a) and a[i + end - j] == b[end]:
+        end += 1
+    return list(range(j, end))
+
+
+def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Flags of the n positions in any of the ranges."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _aligned(a: list, b: list, words: np.ndarray) -> list[int]:
+    """Positions of b in runs of neighbouring aligned lines with at least BLOCK_WORDS words."""
     out: list[int] = []
     run: list[int] = []
     before = None
     for i, j in [*align(a, b), (-1, -1)]:
         if before is None or (i, j) != (before[0] + 1, before[1] + 1):
-            if int(words[run].sum()) >= BLOCK_WORDS if run else False:
+            if run and int(words[run].sum()) >= BLOCK_WORDS:
                 out += run
             run = []
         run.append(j)
@@ -133,15 +214,16 @@ def doomed(a: np.ndarray, b: np.ndarray, words: np.ndarray) -> list[int]:
 
 
 def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, hashes, words): the lines of every document with an id; of rows with the same id one."""
+    """(doc_id, hashes, words, runs): the lines of every row with an id, and the distinct keys of their windows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
             found = list(map(lines, as_bytes(b, "text")))
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32()))], ["doc_id", "hashes", "words"])
+            runs = [np.unique(windows(h, w)[0]) for h, w in found]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "hashes", "words", "runs"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return small_batches(rows).mapInArrow(run, "doc_id long, hashes array<long>, words array<int>")
+    return small_batches(rows).mapInArrow(run, "doc_id long, hashes array<long>, words array<int>, runs array<long>")
 
 
 def deletions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,20 +233,19 @@ def deletions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     alignment sees each of their texts, and a position is deleted in all of them.
     """
     docs = table(signatures(df, doc_id, text))
-    each = docs.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("l")).select("doc_id", F.col("l.hashes").alias("h"), F.col("l.words").alias("w"))
+    each = docs.select("doc_id", F.explode("runs").alias("h"))
     shared = each.groupBy("h").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("holder < other").select("h", "holder")
-    met = each.join(shared, "h").where("holder < doc_id")
-    pairs = met.groupBy("doc_id", "holder").agg(F.sum("w").alias("w")).where(F.col("w") >= PAIR_WORDS).select("doc_id", "holder")
-    later = pairs.join(docs, "doc_id")
+    pairs = each.join(shared, "h").where("holder < doc_id").select("doc_id", "holder").distinct()
+    later = pairs.join(docs.drop("runs"), "doc_id")
     both = later.join(docs.select(F.col("doc_id").alias("holder"), F.col("hashes").alias("earlier")), "holder")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            out = [doomed(*(np.array(x) for x in t)) for t in zip(*(column(b, c).to_pylist() for c in ("earlier", "hashes", "words")))]
+            out = [doomed(*(np.array(x, np.int64) for x in t)) for t in zip(*(column(b, c).to_pylist() for c in ("earlier", "hashes", "words")))]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "holder"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "holder", "lines"])
 
     cut = small_batches(both.select("doc_id", "holder", "earlier", "hashes", "words")).mapInArrow(run, "doc_id long, holder long, lines array<int>").where(F.size("lines") > 0)
-    # a document has at most as many holders as lines
+    # a document has at most as many holders as runs
     return cut.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.array_sort(F.collect_set("holder")).alias("sources"))
 
 
