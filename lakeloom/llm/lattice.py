@@ -26,8 +26,8 @@ FOLD, HELD, ALPHA = 10, 0, 0.1
 VOCABULARY = "piece_bpe_32k.model"
 #: Most frequent words whose counts and scores are broadcast; the others are joined.
 HEAD = 150_000
-#: Most frequent training words that re-weight the pieces.
-TAUGHT = 60_000
+#: Up to this many characters a word's expected counts are found with plain probabilities, if none vanishes.
+SHORT = 48
 SPACE, END = "▁", "</s>"
 #: A text's end as a token: it holds a blank, so it is no word.
 END_TOKEN = " end"
@@ -36,12 +36,13 @@ FLUSH = 300_000
 
 @dataclass
 class Pieces:
-    """Natural log-probability of each piece; `unknown` is the price of a byte outside all pieces."""
+    """Natural log-probability of each piece, of each spelled byte and of a text's end; plain: the pieces' probabilities."""
 
     logp: dict[str, float]
     bytes: list[float]
     end: float
     longest: int
+    plain: dict[str, float]
 
     def char(self, c: str) -> float:
         """A character without a piece is spelled by its bytes."""
@@ -71,23 +72,7 @@ def normalise(weights: dict[str, float]) -> Pieces:
     logp = {p: math.log(w) - total for p, w in weights.items()}
     spelled = [logp.pop(f"<0x{b:02X}>") for b in range(256)]
     end = logp.pop(END)
-    return Pieces(logp, spelled, end, max(map(len, logp)))
-
-
-def arcs(s: str, pieces: Pieces) -> list[list[tuple[int, float, str | None]]]:
-    """For each end position, the pieces that end there: (start, log-probability, piece or None for spelled bytes)."""
-    get, longest = pieces.logp.get, pieces.longest
-    out = []
-    for j in range(1, len(s) + 1):
-        here = []
-        for i in range(max(0, j - longest), j):
-            p = get(s[i:j])
-            if p is not None:
-                here.append((i, p, s[i:j]))
-        if s[j - 1] not in pieces.logp:
-            here.append((j - 1, pieces.char(s[j - 1]), None))
-        out.append(here)
-    return out
+    return Pieces(logp, spelled, end, max(map(len, logp)), {p: math.exp(x) for p, x in logp.items()})
 
 
 def log_probability(word: str, pieces: Pieces) -> float:
@@ -107,29 +92,74 @@ def log_probability(word: str, pieces: Pieces) -> float:
 def expected(word: str, pieces: Pieces, count: float, into: dict[str, float]) -> None:
     """Add the expected number of each piece over the word's segmentations."""
     s = SPACE + word
-    lattice = arcs(s, pieces)
-    n = len(s)
-    alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    if len(s) > SHORT or not _expected_short(s, pieces, count, into):
+        _expected_long(s, pieces, count, into)
+
+
+def _spell(c: str, share: float, into: dict[str, float]) -> None:
+    for b in c.encode("utf-8", "surrogatepass"):
+        into[f"<0x{b:02X}>"] = into.get(f"<0x{b:02X}>", 0.0) + share
+
+
+def _expected_short(s: str, pieces: Pieces, count: float, into: dict[str, float]) -> bool:
+    """Forward-backward with plain probabilities; False, and nothing added, if the whole is too small for them."""
+    get, longest = pieces.plain.get, pieces.longest
+    alpha, arcs = [1.0], []
+    for j in range(1, len(s) + 1):
+        total = 0.0
+        for i in range(max(0, j - longest), j):
+            p = get(s[i:j])
+            if p is not None:
+                total += alpha[i] * p
+                arcs.append((i, j, p, True))
+        if s[j - 1] not in pieces.plain:
+            p = math.exp(pieces.char(s[j - 1]))
+            total += alpha[j - 1] * p
+            arcs.append((j - 1, j, p, False))
+        alpha.append(total)
+    if alpha[-1] < 1e-280:
+        return False
+    beta = [0.0] * len(s) + [count / alpha[-1]]
+    for i, j, p, known in reversed(arcs):
+        step = p * beta[j]
+        beta[i] += step
+        piece = s[i:j]
+        if known:
+            into[piece] = into.get(piece, 0.0) + alpha[i] * step
+        else:
+            _spell(piece, alpha[i] * step, into)
+    return True
+
+
+def _expected_long(s: str, pieces: Pieces, count: float, into: dict[str, float]) -> None:
+    """Forward-backward in log space; keeps a number a character, however long the word."""
+    get, longest, n = pieces.logp.get, pieces.longest, len(s)
 
     def plus(a: float, b: float) -> float:
         if a < b:
             a, b = b, a
         return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
-    for j, here in enumerate(lattice, 1):
-        for i, p, _ in here:
+    def arcs(j: int) -> Iterator[tuple[int, float, bool]]:
+        for i in range(max(0, j - longest), j):
+            p = get(s[i:j])
+            if p is not None:
+                yield i, p, True
+        if s[j - 1] not in pieces.logp:
+            yield j - 1, pieces.char(s[j - 1]), False
+
+    alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for j in range(1, n + 1):
+        for i, p, _ in arcs(j):
             alpha[j] = plus(alpha[j], alpha[i] + p)
     for j in range(n, 0, -1):
-        for i, p, _ in lattice[j - 1]:
+        for i, p, known in arcs(j):
             beta[i] = plus(beta[i], p + beta[j])
-    for j, here in enumerate(lattice, 1):
-        for i, p, piece in here:
             share = count * math.exp(alpha[i] + p + beta[j] - alpha[n])
-            if piece is not None:
-                into[piece] = into.get(piece, 0.0) + share
+            if known:
+                into[s[i:j]] = into.get(s[i:j], 0.0) + share
             else:
-                for b in s[i].encode("utf-8", "surrogatepass"):
-                    into[f"<0x{b:02X}>"] = into.get(f"<0x{b:02X}>", 0.0) + share
+                _spell(s[i], share, into)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -161,8 +191,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return small_batches(rows).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_pieces(words: DataFrame, ends: int, path: str, bound: int = TAUGHT) -> Pieces:
-    """Piece log-probabilities from the existing scores, re-weighted by the expected counts in the most frequent words."""
+def fit_pieces(words: DataFrame, ends: int, path: str) -> Pieces:
+    """Piece log-probabilities from the existing scores, re-weighted by the expected counts in all training words."""
     spark = words.sparkSession
     weights = zipf(load_pieces(path))
     start = spark.sparkContext.broadcast(normalise(weights))
@@ -174,9 +204,8 @@ def fit_pieces(words: DataFrame, ends: int, path: str, bound: int = TAUGHT) -> P
                 expected(w, start.value, c, into)
         yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], ["piece", "n"])
 
-    top = words.where((F.col("c") > 0) & (F.col("word") != END_TOKEN)).orderBy(F.desc("c"), "word").limit(bound)
-    spread = spark.sparkContext.defaultParallelism * 2
-    found = top.repartition(spread, "word").mapInArrow(gather, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    taught = words.where((F.col("c") > 0) & (F.col("word") != END_TOKEN))
+    found = taught.mapInArrow(gather, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     got = {r["piece"]: r["n"] for r in found.collect()}  # at most the vocabulary
     scale = sum(got.values()) or 1.0
     total = sum(weights.values())
