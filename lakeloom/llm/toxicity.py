@@ -76,7 +76,23 @@ class Emissions(dict):
 
 
 def marginals(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """P(toxic) of every token: forward-backward over all chains together, longest first. e: emissions, laid end to end."""
+    """P(toxic) of every token. e: emissions of all chains, laid end to end."""
+    forward, backward = _forward_backward(e, starts, lengths, steps)
+    one = forward * backward
+    return one / (one + (1 - forward) * (1 - backward))
+
+
+def pair_marginals(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """P(tag before, tag) of the tokens `at`, none of which begins a chain: tokens x 2 x 2."""
+    forward, backward = _forward_backward(e, starts, lengths, steps)
+    before = np.stack([1 - forward[at - 1], forward[at - 1]], 1)
+    after = np.stack([1 - backward[at], np.exp(e[at]) * backward[at]], 1)
+    joint = before[:, :, None] * np.exp(steps) * after[:, None, :]
+    return joint / joint.sum((1, 2), keepdims=True)
+
+
+def _forward_backward(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The toxic tag's share of the messages from either side, over all chains together, longest first."""
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     alive = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
@@ -105,8 +121,7 @@ def marginals(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, steps: np.
             now[:before] = one / (zero + one)
         b, before = now, k
         backward[at] = now
-    one = forward * backward
-    return one / (one + (1 - forward) * (1 - backward))
+    return forward, backward
 
 
 def tag(tokens: list[list[bytes]], emissions: Emissions, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +164,7 @@ def _learn_chain(sentences: list[tuple[list[str], list[int]]]) -> tuple[np.ndarr
     at = np.flatnonzero(follows)
     seen = np.zeros((2, 2))
     np.add.at(seen, (label[at - 1].astype(int), label[at].astype(int)), 1)
-    m = [np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0]
+    m, moved = [np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0], [np.zeros((2, 2)), np.zeros((2, 2))]
     used = np.unique(slot)
     for n in range(1, STEPS + 1):
         kind_e = np.bincount(owner, weights[slot], len(kinds)) + bias
@@ -164,12 +179,10 @@ def _learn_chain(sentences: list[tuple[list[str], list[int]]]) -> tuple[np.ndarr
         g = off.sum()
         m[2], m[3] = 0.9 * m[2] + 0.1 * g, 0.99 * m[3] + 0.01 * g * g
         bias += 0.5 * RATE * (m[2] / (1 - 0.9**n)) / (np.sqrt(m[3] / (1 - 0.99**n)) + 1e-8)
-        # transitions: expected pairs by the product of neighbours' marginals, a mean-field step
-        q = np.stack([1 - p, p])
-        want = (seen + 1) / (seen + 1).sum()
-        got = q[:, at - 1] @ q[:, at].T + 1
-        steps += 0.2 * np.clip(np.log(want) - np.log(got / got.sum()), -1, 1)
-        steps = np.clip(steps - steps.mean(), -2, 2)
+        # transitions: observed pairs less expected ones
+        g = (seen - pair_marginals(e, starts, lengths, steps, at).sum(0)) / max(1, len(at)) - DECAY * steps
+        moved[0], moved[1] = 0.9 * moved[0] + 0.1 * g, 0.99 * moved[1] + 0.01 * g**2
+        steps = steps + 0.5 * RATE * (moved[0] / (1 - 0.9**n)) / (np.sqrt(moved[1] / (1 - 0.99**n)) + 1e-8)
     return weights, bias, steps
 
 

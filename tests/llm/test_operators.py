@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -266,6 +266,19 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[s : s + n], weight[:, 1] / weight.sum(axis=1))
 
 
+def test_pair_marginals_equal_enumeration():
+    rng = np.random.default_rng(8)
+    e, steps = rng.normal(0, 2, 5), rng.normal(0, 1, (2, 2))
+    want, z = np.zeros((4, 2, 2)), 0.0
+    for tags in product((0, 1), repeat=5):
+        w = np.exp(sum(e[i] * t for i, t in enumerate(tags)) + sum(steps[a, b] for a, b in zip(tags, tags[1:])))
+        z += w
+        for i, (a, b) in enumerate(zip(tags, tags[1:])):
+            want[i, a, b] += w
+    got = toxicity.pair_marginals(e, np.array([0]), np.array([5]), steps, np.arange(1, 5))
+    assert np.allclose(got, want / z)
+
+
 @pytest.fixture(scope="module")
 def insults(spark):
     rng = random.Random(5)
@@ -327,6 +340,13 @@ def test_lattice_equals_enumeration(pieces):
         lattice.expected(word, pieces, 1.0, into)
         spelled = sum(len(p) * n for p, n in into.items() if not p.startswith("<0x"))
         assert np.isclose(spelled, len(word) + 1 - sum(c not in pieces.logp for c in word))
+        slow = {}
+        lattice._expected_long("▁" + word, pieces, 1.0, slow)
+        assert slow.keys() == into.keys() and all(np.isclose(slow[x], into[x]) for x in into)
+    vanishing, into = "\U00010380" * 30, {}  # no piece: spelled by its bytes F0 90 8E 80
+    assert not lattice._expected_short("▁" + vanishing, pieces, 1.0, into) and not into
+    lattice.expected(vanishing, pieces, 2.0, into)
+    assert np.isclose(into["<0xF0>"], 60) and np.isclose(into["<0x8E>"], 60)
     assert np.isclose(np.exp(list(pieces.logp.values())).sum() + np.exp(pieces.bytes).sum() + np.exp(pieces.end), 1)
 
 
