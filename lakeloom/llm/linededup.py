@@ -60,14 +60,27 @@ def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), (ends - starts).astype(np.int32)
 
 
+_made: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or more, of an odd base and of its inverse, modulo 2 ** 64; some are remembered."""
+    known = _made.get("powers")
+    if known is None or len(known[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        known = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 12), x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
+        if n <= 1 << 16:
+            _made["powers"] = known
+    return known
+
+
 def windows(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(key, end) of the shortest run of lines with `least` words from each line on, as far as there is one."""
     total = np.cumsum(words, dtype=np.int64)
     end = np.searchsorted(total, total - words + least) + 1
     n = int(np.searchsorted(end, len(words), side="right"))
     # prefix sums of a polynomial in an odd base; its inverse takes a run back to power zero
-    base = 0x9E3779B97F4A7C15
-    power, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(words), x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
+    power, back = _powers(len(words))
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.int64).view(np.uint64) * power[: len(words)])))
     key = (prefix[end[:n]] - prefix[:n]) * back[:n]
     key ^= key >> np.uint64(32)
@@ -148,35 +161,47 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def doomed(a: np.ndarray, b: np.ndarray, words: np.ndarray) -> list[int]:
+def doomed(a: list[int], b: list[int], words: list[int]) -> list[int]:
     """Lines of b, the later document, in aligned runs of at least BLOCK_WORDS words.
 
     The alignment is repeated on what is left of b while that holds a run that a has too.
     Repetitions of an aligned run within b go with it.
     """
-    keys, ends = windows(b, words)
-    names, first = np.unique(b, return_index=True)
-    place = np.minimum(np.searchsorted(names, a), max(0, len(names) - 1))
+    both = set(a).intersection(b)
+    mine = [i for i, x in enumerate(a) if x in both]
+    found = _aligned(a, mine, b, [j for j, x in enumerate(b) if x in both], words)
+    gone = set(found)
+    run, before = 0, -2
+    for j, x in enumerate(b):
+        if x in both and j not in gone:
+            run, before = (run if j == before + 1 else 0) + words[j], j
+            if run >= BLOCK_WORDS:  # there may be a common run left
+                return _again(a, mine, b, words, found)
+    return found
+
+
+def _again(a: list[int], mine: list[int], b: list[int], words: list[int], found: list[int]) -> list[int]:
+    """doomed() once the lines found by the first alignment are gone. mine: positions of a whose lines b has too."""
+    sizes = dict(zip(b, words))
+    keys, ends = windows(np.array(b, np.int64), np.array(words, np.int64))
     # a line that b lacks ends a window of a: such a window equals none of b
-    sizes = np.where(names[place] == a, words[first[place]], BLOCK_WORDS) if len(names) else np.full(len(a), BLOCK_WORDS)
-    held, _ = windows(a, sizes)
+    held, _ = windows(np.array(a, np.int64), np.array([sizes.get(x, BLOCK_WORDS) for x in a], np.int64))
     common = np.isin(keys, held)
-    gone = np.zeros(len(b), bool)
-    earlier, later = a.tolist(), b.tolist()
+    gone, left = np.zeros(len(b), bool), {a[i] for i in mine}
     while True:
+        gone[found] = True
+        taken = np.concatenate(([0], np.cumsum(gone)))
+        whole = common & (taken[ends] - taken[: len(ends)] == ends - np.arange(len(ends)))
+        again = np.flatnonzero(np.isin(keys, keys[whole]))
+        gone |= _cover(again, ends[again], len(b))
         taken = np.concatenate(([0], np.cumsum(gone)))
         starts = np.flatnonzero(common & (taken[ends] == taken[: len(ends)]))
         if not len(starts):
             return np.flatnonzero(gone).tolist()
-        found = _aligned(earlier, [(k,) if out else x for k, (x, out) in enumerate(zip(later, gone))], words)
+        found = _aligned(a, mine, b, [j for j in np.flatnonzero(~gone).tolist() if b[j] in left], words)
         if not found:  # blocks cross each other: the first one by itself
-            found = _stretched(earlier, later, int(np.flatnonzero(held == keys[starts[0]])[0]), int(starts[0]), int(ends[starts[0]]))
+            found = _stretched(a, b, int(np.flatnonzero(held == keys[starts[0]])[0]), int(starts[0]), int(ends[starts[0]]))
             common[starts[0]] = False
-        gone[found] = True
-        taken = np.concatenate(([0], np.cumsum(gone)))
-        whole = common & (taken[ends] - taken[: len(ends)] == ends - np.arange(len(ends)))
-        again = np.flatnonzero(np.isin(keys, keys[whole]))
-        gone |= _cover(again, ends[again], len(b))
 
 
 def _stretched(a: list, b: list, i: int, j: int, end: int) -> list[int]:
@@ -198,19 +223,21 @@ def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _aligned(a: list, b: list, words: np.ndarray) -> list[int]:
-    """Positions of b in runs of neighbouring aligned lines with at least BLOCK_WORDS words."""
+def _aligned(a: list[int], mine: list[int], b: list[int], yours: list[int], words: list[int]) -> list[int]:
+    """Positions of b in runs of neighbouring aligned lines with at least BLOCK_WORDS words; mine and yours are the positions to align."""
     out: list[int] = []
     run: list[int] = []
-    before = None
-    for i, j in [*align(a, b), (-1, -1)]:
-        if before is None or (i, j) != (before[0] + 1, before[1] + 1):
-            if run and int(words[run].sum()) >= BLOCK_WORDS:
+    total, before = 0, (-2, -2)
+    for i, j in align([a[i] for i in mine], [b[j] for j in yours]):
+        i, j = mine[i], yours[j]
+        if (i, j) != (before[0] + 1, before[1] + 1):
+            if total >= BLOCK_WORDS:
                 out += run
-            run = []
+            run, total = [], 0
         run.append(j)
+        total += words[j]
         before = (i, j)
-    return out
+    return out + run if total >= BLOCK_WORDS else out
 
 
 def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +268,7 @@ def deletions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            out = [doomed(*(np.array(x, np.int64) for x in t)) for t in zip(*(column(b, c).to_pylist() for c in ("earlier", "hashes", "words")))]
+            out = [doomed(*t) for t in zip(*(column(b, c).to_pylist() for c in ("earlier", "hashes", "words")))]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "holder"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "holder", "lines"])
 
     cut = small_batches(both.select("doc_id", "holder", "earlier", "hashes", "words")).mapInArrow(run, "doc_id long, holder long, lines array<int>").where(F.size("lines") > 0)

@@ -499,7 +499,7 @@ def test_common_runs_equal_brute_force():
         for _ in range(rng.randint(0, 4)):
             i = rng.randint(0, len(a))
             b += a[i : i + rng.randint(1, 12)] * rng.randint(1, 3) + [rng.randrange(kinds) for _ in range(rng.randint(0, 3))]
-        got = linededup.doomed(np.array(a, np.int64), np.array(b, np.int64), np.array([size[x] for x in b], np.int64))
+        got = linededup.doomed(a, b, [size[x] for x in b])
         want, left = set(), [-1 if j in got else x for j, x in enumerate(b)]
         for i in range(len(a)):
             for j in range(len(b)):
