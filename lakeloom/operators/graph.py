@@ -158,34 +158,42 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     return found
 
 
-def betweenness(edges: DataFrame, sources: list[int]) -> DataFrame:
-    """Brandes' dependencies summed over the given sources, a source a task; the adjacency is grouped once for each."""
+def betweenness(edges: DataFrame, sources: list[int] | None = None, parts: int = 64) -> DataFrame:
+    """Brandes' dependencies summed over the given sources, by default every node. The sources are dealt over parts, each with the whole adjacency."""
+    import numpy as np
     import pandas as pd
 
-    e = both_ways(edges)
-    wanted = e.sparkSession.createDataFrame([(s,) for s in sources], "source long")
-    sized = wanted.crossJoin(e)  # a stated set of sources against all edges
-
-    def brandes(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            near.setdefault(a, []).append(b)
-        s = int(pdf["source"].iloc[0])
-        far, ways, order, before = {s: 0}, {s: 1.0}, [s], {s: []}
-        for v in order:
-            for w in near.get(v, ()):
-                if w not in far:
-                    far[w] = far[v] + 1
-                    order.append(w)
-                if far[w] == far[v] + 1:
-                    ways[w] = ways.get(w, 0.0) + ways[v]
-                    before.setdefault(w, []).append(v)
-        share = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before.get(w, ()):
-                share[v] += ways[v] / ways[w] * (1 + share[w])
-        share.pop(s)
-        return pd.DataFrame({"id": list(share), "dependency": list(share.values())})
-
-    parts = sized.groupBy("source").applyInPandas(brandes, "id long, dependency double")
-    return parts.groupBy("id").agg(F.sum("dependency").alias("betweenness"))
+    e = keep(both_ways(edges))
+    wanted = e.select(F.col("src").alias("source")).distinct() if sources is None else e.sparkSession.createDataFrame([(s,) for s in sources], "source long")
+    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts)))
+    sized = e.crossJoin(F.broadcast(e.sparkSession.range(parts).withColumnRenamed("id", "part")))  # the adjacency once a part
+
+    def brandes(ours: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, ends = np.unique(pdf[["src", "dst"]].to_numpy(np.int64), return_inverse=True)
+        ends, n = ends.reshape(-1, 2), len(ids)
+        src, dst = ends[np.argsort(ends[:, 0], kind="stable")].T
+        first = np.searchsorted(src, np.arange(n + 1))
+        degree = np.diff(first)
+        total, reached = np.zeros(n), np.zeros(n, bool)
+        for s in np.searchsorted(ids, np.intersect1d(ours["source"], ids)):
+            far, ways, share = np.full(n, -1), np.zeros(n), np.zeros(n)
+            far[s], ways[s], front, steps = 0, 1.0, np.array([s]), []
+            while len(front):
+                size = degree[front]
+                at = np.arange(size.sum()) + np.repeat(first[front] - np.cumsum(size) + size, size)
+                v, w = src[at], dst[at]
+                far[w[far[w] < 0]] = len(steps) + 1
+                down = far[w] == len(steps) + 1
+                v, w = v[down], w[down]
+                steps.append((v, w))
+                ways += np.bincount(w, ways[v], n)
+                front = np.unique(w)
+            for v, w in reversed(steps):
+                share += np.bincount(v, ways[v] / ways[w] * (1 + share[w]), n)
+            far[s], share[s] = -1, 0.0
+            total += share
+            reached |= far > 0
+        return pd.DataFrame({"id": ids[reached], "dependency": total[reached]})
+
+    out = wanted.groupBy("part").cogroup(sized.groupBy("part")).applyInPandas(brandes, "id long, dependency double")
+    return out.groupBy("id").agg(F.sum("dependency").alias("betweenness"))

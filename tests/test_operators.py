@@ -2,13 +2,18 @@
 
 import datetime as dt
 import hashlib
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import columns as fn
 from lakeloom.operators import batch, graph, kv, partitioning, relational, timeseries, txn
 from lakeloom.streaming import topology
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, *columns):
     return spark.range(1).select(*columns).first()
@@ -178,3 +183,55 @@ def test_partitioned_points(spark, tmp_path):
     back = tables.time_range(spark.read.parquet(str(tmp_path / "p")), t + dt.timedelta(days=1), t + dt.timedelta(days=2))
     assert back.count() == 2 and "PartitionFilters: [isnotnull(date_partition" in back._jdf.queryExecution().toString()
     assert tables.delete_older(df, 2).count() == 3
+
+
+def test_betweenness_of_every_node_equals_brute_force(spark):
+    rng = random.Random(5)
+    edges = list({(a, b) for a, b in ((rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(90)) if a != b})
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def paths(s, t):
+        """All shortest paths."""
+        found = [[s]]
+        seen = {s}
+        while found and t not in seen:
+            found = [[*p, w] for p in found for w in near[p[-1]] if w not in seen]
+            seen.update(p[-1] for p in found)
+        return [p for p in found if p[-1] == t]
+
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        for t in near:
+            through = paths(s, t) if s != t else []
+            for p in through:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(through)
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(edges, "src long, dst long"), parts=5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
+def whole_shares(spark, sf):
+    from lakeloom.sources import tables
+
+    return [tuple(r) for r in tables.shares(spark, sf).collect()]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_whole_graph_queries_have_every_customer(spark):
+    from lakeloom.plans.catalogue import QUERIES
+
+    edges = whole_shares(spark, SF)
+    nodes = {v for e in edges for v in e}
+    label = {v: v for v in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    assert {r["id"]: r["component"] for r in QUERIES["graph_wcc_all"](spark, SF).collect()} == label
+    assert {r["id"] for r in QUERIES["graph_betweenness"](spark, SF).collect()} == nodes and max(nodes) > 40
