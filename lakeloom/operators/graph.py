@@ -158,6 +158,73 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     return found
 
 
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without incoming or without outgoing edges are removed to a fixed point: empty without a cycle."""
+    e = keep(edges.select("src", "dst").distinct())
+    n = e.count()
+    while n:
+        e = keep(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        was, n = n, e.count()
+        if n == was:
+            break
+    return e
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): nodes on a cycle with the largest id of their strongly connected component.
+
+    Each round gives every node the largest id that reaches it. Nodes with their own id are
+    roots; what reaches a root within its colour is its component, and goes. Rounds end when no cycle is left.
+    """
+    done, e = None, cyclic_core(edges)
+    while not e.isEmpty():
+        colour = keep(e.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
+        while True:
+            high = e.join(colour, e.src == colour.id).groupBy("dst").agg(F.max("colour").alias("high"))
+            new = keep(colour.join(high, colour.id == high.dst, "left").select("id", F.col("colour").alias("was"), F.greatest("colour", "high").alias("colour")))
+            colour = new.select("id", "colour")
+            if new.where("was <> colour").isEmpty():
+                break
+        ends = colour.select(F.col("id").alias("dst"), F.col("colour").alias("c"))
+        same = keep(e.join(colour.withColumnRenamed("id", "src"), "src").join(ends, "dst").where("colour = c").select("src", "dst", "colour"))
+        front = found = colour.where("id = colour")
+        while not front.isEmpty():
+            up = same.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), "colour").distinct()
+            front = keep(up.join(found.select("id"), "id", "left_anti"))
+            found = keep(found.unionAll(front))
+        # a root without a cycle of its own is no component
+        inner = same.join(found.select(F.col("id").alias("src")), "src", "left_semi").join(found.select(F.col("id").alias("dst")), "dst", "left_semi")
+        on = inner.select(F.col("src").alias("id"), F.col("colour").alias("component")).distinct()
+        done = keep(on if done is None else done.unionAll(on))
+        e = cyclic_core(e.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0) if done is None else done
+
+
+def component_cycles(edges: DataFrame) -> DataFrame:
+    """(component, members, path): for each strongly connected component a shortest cycle through its largest node, of any length, from that node on."""
+    comps = keep(strong_components(edges))
+    end = comps.select(F.col("id").alias("dst"), F.col("component").alias("c"))
+    e = keep(edges.select("src", "dst").distinct().join(comps.withColumnRenamed("id", "src"), "src").join(end, "dst").where("component = c").select("component", "src", "dst"))
+    # the way back to the largest node: the hop that each node takes, level by level
+    front = e.where("dst = component").groupBy("component", F.col("src").alias("id")).agg(F.min("dst").alias("next"))
+    known = front = keep(front)
+    while not front.isEmpty():
+        step = e.join(front.select("component", F.col("id").alias("dst")), ["component", "dst"]).groupBy("component", F.col("src").alias("id")).agg(F.min("dst").alias("next"))
+        front = keep(step.join(known.select("component", "id"), ["component", "id"], "left_anti"))
+        known = keep(known.unionAll(front))
+    hop = known.select("component", F.col("id").alias("cur"), "next")
+    paths = comps.select("component").distinct().select("component", F.col("component").alias("cur"), F.array("component").alias("path"))
+    out = None
+    while True:
+        paths = keep(paths.join(hop, ["component", "cur"]).select("component", F.col("next").alias("cur"), F.when(F.col("next") == F.col("component"), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path")))
+        closed = paths.where("cur = component").select("component", "path")
+        out = closed if out is None else out.unionAll(closed)
+        paths = paths.where("cur <> component")
+        if paths.isEmpty():
+            break
+    return comps.groupBy("component").agg(F.count("*").alias("members")).join(out, "component")
+
+
 def betweenness(edges: DataFrame, sources: list[int] | None = None, parts: int = 64) -> DataFrame:
     """Brandes' dependencies summed over the given sources, by default every node. The sources are dealt over parts, each with the whole adjacency."""
     import numpy as np

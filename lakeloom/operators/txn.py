@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators import graph
+
 
 def commit_state(ops: DataFrame, aborted: DataFrame | None = None) -> DataFrame:
     """State after the transactions that were not aborted: the last write or delete of each resource in order `at`; deletes hide it."""
@@ -54,6 +56,16 @@ def lock_conflicts(locks: DataFrame) -> DataFrame:
     return locks.join(other, cond).where("NOT (kind = 'shared' AND o_kind = 'shared')").select("resource", "tx", "o_tx")
 
 
+def has_cycle(waits: DataFrame) -> bool:
+    """Whether any transactions wait for each other in a circle of any length. waits: src, dst."""
+    return not graph.cyclic_core(waits).isEmpty()
+
+
+def deadlocks(waits: DataFrame) -> DataFrame:
+    """Each deadlock once: a cycle of any length, the victim (the largest id) and how many transactions are on cycles with it. waits: src, dst."""
+    return graph.component_cycles(waits).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), F.col("component").alias("victim"), "members")
+
+
 def two_phase_outcome(votes: DataFrame) -> DataFrame:
     """Commit if all participants vote yes."""
     return votes.groupBy("tx").agg(F.bool_and("vote").alias("committed"), F.count("*").alias("participants"))

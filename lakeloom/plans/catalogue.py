@@ -495,6 +495,12 @@ def deadlock_cycles(spark, sf_dir):
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), F.array_max("path").alias("victim"))
 
 
+@query()
+def deadlock_victims(spark, sf_dir):
+    """deadlock_cycles is held to the folded graph and the four transactions of its SQL; this one has every customer and cycles of any length."""
+    return txn.deadlocks(src.shares(spark, sf_dir))
+
+
 @query("SELECT key, arg_max(value, (ts, seq)) AS value FROM (" + src.VIEW_SQL["kv_log"] + ") GROUP BY 1")
 def lww_resolve(spark, sf_dir):
     return txn.last_write_wins(src.kv_log(spark, sf_dir))

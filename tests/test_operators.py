@@ -235,3 +235,23 @@ def test_whole_graph_queries_have_every_customer(spark):
             label[a] = label[b] = low
     assert {r["id"]: r["component"] for r in QUERIES["graph_wcc_all"](spark, SF).collect()} == label
     assert {r["id"] for r in QUERIES["graph_betweenness"](spark, SF).collect()} == nodes and max(nodes) > 40
+
+
+def test_deadlocks_of_any_length(spark):
+    """Against reachability by brute force: every strongly connected component gets one cycle."""
+    rng = random.Random(6)
+    ring = [(i, i % 7 + 1) for i in range(1, 8)]
+    cases = [ring, [(1, 2), (2, 3), (3, 4), (1, 4)], [*ring, (7, 20), (20, 21), (21, 20), (21, 30), (30, 31), (40, 1), (50, 50)]]
+    cases += [list({(rng.randrange(25), rng.randrange(25)) for _ in range(30)}) for _ in range(2)]
+    for edges in cases:
+        reach = set(edges)
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        groups = {frozenset(w for w in {x for e in edges for x in e} if (v, w) in reach and (w, v) in reach) for v in {x for e in edges for x in e} if (v, v) in reach}
+        df = spark.createDataFrame(edges, "src long, dst long")
+        assert txn.has_cycle(df) == bool(groups)
+        got = txn.deadlocks(df).collect()
+        assert {r["victim"]: r["members"] for r in got} == {max(g): len(g) for g in groups} and len(got) == len(groups)
+        for r in got:
+            path = [int(x) for x in r["cycle"].split(">")]
+            assert r["victim"] == path[0] and len(set(path)) == len(path) and all(e in edges for e in zip(path, [*path[1:], path[0]]))
