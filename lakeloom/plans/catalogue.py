@@ -376,10 +376,28 @@ def kv_compaction_plan(spark, sf_dir):
 @query("SELECT c_custkey AS id, true AS maybe FROM customer WHERE c_custkey % 10 = 0")
 def kv_bloom_members(spark, sf_dir):
     """Every member is found: a Bloom filter has no false negatives."""
+    ids, members, bits, hashes = _bloom(spark, sf_dir)
+    return kv.bloom_contains(members, "item", kv.bloom(members, "item", bits, hashes), bits, hashes).select(F.col("item").cast("long").alias("id"), "maybe")
+
+
+def _bloom(spark, sf_dir):
+    """All customers, those of them in the filter, and the filter's shape by their number."""
     ids = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("item"))
-    bits, hashes = fn.bloom_shape(10_000, 0.01)
     members = ids.where(F.col("item").cast("long") % 10 == 0)
-    return kv.bloom_contains(members, "item", kv.bloom(members, "item", bits, hashes), bits, hashes).select(F.col("item").cast("long").alias("id"), "maybe")
+    return ids, members, *fn.bloom_shape(max(1, members.count()), 0.01)
+
+
+#: The filter's shape and positions as columns.bloom_shape and columns.bloom_positions have them.
+_BLOOM_SQL = """shape AS (SELECT bits, trunc(bits * ln(2) / n)::INT AS hashes FROM (SELECT n, trunc(-n * ln(0.01) / (ln(2) * ln(2)))::BIGINT AS bits FROM (SELECT greatest(1, count(*)) AS n FROM customer WHERE c_custkey % 10 = 0))),
+ places AS (SELECT c_custkey AS id, ('0x' || md5(c_custkey || i::VARCHAR))::UHUGEINT % bits AS position FROM customer, shape, range(64) t(i) WHERE i < hashes),
+ filled AS (SELECT DISTINCT position FROM places WHERE id % 10 = 0)"""
+
+
+@query(f"WITH {_BLOOM_SQL} SELECT id, bool_and(position IN (SELECT position FROM filled)) AS maybe FROM places GROUP BY 1")
+def kv_bloom_probe(spark, sf_dir):
+    """Every customer is asked: members are found, and others may be, in about one case of a hundred."""
+    ids, members, bits, hashes = _bloom(spark, sf_dir)
+    return kv.bloom_contains(ids, "item", kv.bloom(members, "item", bits, hashes), bits, hashes).select(F.col("item").cast("long").alias("id"), "maybe")
 
 
 # ---- partitioning

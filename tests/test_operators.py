@@ -255,3 +255,16 @@ def test_deadlocks_of_any_length(spark):
         for r in got:
             path = [int(x) for x in r["cycle"].split(">")]
             assert r["victim"] == path[0] and len(set(path)) == len(path) and all(e in edges for e in zip(path, [*path[1:], path[0]]))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_bloom_probe_asks_every_customer(spark):
+    from lakeloom.plans.catalogue import QUERIES
+
+    ids = [r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()]
+    members = [i for i in ids if i % 10 == 0]
+    bits, hashes = fn.bloom_shape(len(members), 0.01)
+    places = lambda i: {int(hashlib.md5(f"{i}{k}".encode()).hexdigest(), 16) % bits for k in range(hashes)}
+    filled = set().union(*map(places, members))
+    got = {r["id"]: r["maybe"] for r in QUERIES["kv_bloom_probe"](spark, SF).collect()}
+    assert got == {i: places(i) <= filled for i in ids} and len(got) > len(members) and not all(got.values())
