@@ -1,14 +1,12 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by pairwise alignment, word by word.
 
-Lines are cut further where their words say so (at a word whose hash is the lowest of its
-neighbourhood), so a passage gives the same short lines wherever it stands. Single lines
-can be common, so documents meet through rare ones: the hash of each run of lines that just
-reaches BLOCK_WORDS. For each run that several documents share, the document with the
+Documents meet through winnowed runs of BLOCK_WORDS words: the lowest hash among each WINDOW
+neighbouring runs. Documents that share a passage of BLOCK_WORDS + WINDOW - 1 words share
+all its windows, hence a run. For each run that several documents share, the document with the
 smallest id holds the original, and a later document is paired with the holders of its runs:
 as many pairs as shared runs at most, however many documents share one, and none that has
-nothing to delete. Each pair's line hashes are aligned by patience diff; runs of aligned
-lines with enough words are deleted from the later document. What is left of it is aligned
-again until nothing more is found, so moved and repeated blocks go as well.
+nothing to delete. Of a pair, each common run of BLOCK_WORDS words is deleted from the later
+document, so a passage goes to its last word, and moved and repeated ones go as well.
 """
 
 from __future__ import annotations
@@ -27,30 +25,44 @@ from .common import as_bytes, batches, column, small_batches, table
 
 #: A word ends a line if no word has a lower hash among this many on either side. Ties count, so that a passage of a few words over and over is cut too.
 REACH = 4
-#: Words of the runs of lines that pair documents, and of an aligned run that is deleted.
+#: Words of the runs that pair documents, and of a common run that is deleted.
 BLOCK_WORDS = 25
+#: Neighbouring runs of words of which the lowest pairs documents: no common passage of 40 words is missed.
+WINDOW = 16
+#: Fewer words than this that a holder adds to the passage of a smaller one are neighbours by chance, and stay.
+CHANCE = 5
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, words) of each line of a text that has a word, lines cut where their content says so."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a text, and where its lines end, counted in words."""
     hashes, ends = [], []
     for line in text.split(b"\n"):
         words = line.split()
         if words:
             hashes.extend(map(xxhash.xxh3_64_intdigest, words))
             ends.append(len(hashes))
-    n = len(hashes)
+    return np.array(hashes, np.uint64), np.array(ends, np.int64)
+
+
+def _line_ends(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where lines end, cut where their content says so as well."""
+    n = len(h)
+    last = np.ones(n, bool)
+    for k in range(1, min(REACH + 1, n)):
+        last[:-k] &= h[:-k] <= h[k:]
+        last[k:] &= h[k:] <= h[:-k]
+    last[ends - 1] = True
+    return np.flatnonzero(last) + 1
+
+
+def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, words) of each line of a text that has a word, lines cut where their content says so."""
+    h, ends = word_hashes(text)
+    n = len(h)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    h = np.array(hashes, np.uint64)
-    cut = np.ones(n, bool)
-    for k in range(1, min(REACH + 1, n)):
-        cut[:-k] &= h[:-k] <= h[k:]
-        cut[k:] &= h[k:] <= h[:-k]
-    last = cut
-    last[np.array(ends) - 1] = True
-    ends = np.flatnonzero(last) + 1
+    ends = _line_ends(h, ends)
     starts = np.concatenate(([0], ends[:-1]))
     # position within the line weighs a word's hash
     place = (np.arange(n) - np.repeat(starts, ends - starts)).astype(np.uint64)
@@ -60,6 +72,36 @@ def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), (ends - starts).astype(np.int32)
 
 
+def word_runs(h: np.ndarray) -> np.ndarray:
+    """The key of each run of BLOCK_WORDS words."""
+    n = len(h) - BLOCK_WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    power, back = _powers(len(h))
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((h ^ (h >> np.uint64(31))) * power[: len(h)])))
+    key = (prefix[BLOCK_WORDS:] - prefix[:n]) * back[:n]
+    key ^= key >> np.uint64(32)
+    return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def winnowed(keys: np.ndarray) -> np.ndarray:
+    """The distinct lowest keys of all WINDOW neighbours; all keys where there are fewer."""
+    if len(keys) < WINDOW:
+        return np.unique(keys)
+    low, size = keys, 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
+    return np.unique(low)
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Flags of the words of b, the later document, in runs of BLOCK_WORDS words that a has too. a: its word_runs."""
+    starts = np.flatnonzero(np.isin(word_runs(b), a))
+    return _cover(starts, starts + BLOCK_WORDS, len(b))
+
+
 _made: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -240,50 +282,101 @@ def _aligned(a: list[int], mine: list[int], b: list[int], yours: list[int], word
     return out + run if total >= BLOCK_WORDS else out
 
 
-def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, hashes, words, runs): the lines of every row with an id, and the distinct keys of their windows."""
+def signatures(df: DataFrame) -> DataFrame:
+    """(doc_id, runs): the distinct winnowed runs of every row. df: doc_id, text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            found = list(map(lines, as_bytes(b, "text")))
-            runs = [np.unique(windows(h, w)[0]) for h, w in found]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "hashes", "words", "runs"])
+            runs = [winnowed(word_runs(word_hashes(t)[0])) for t in as_bytes(b, "text")]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "runs"])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return small_batches(rows).mapInArrow(run, "doc_id long, hashes array<long>, words array<int>, runs array<long>")
+    return small_batches(df).mapInArrow(run, "doc_id long, runs array<long>")
 
 
 def deletions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lines, sources): for each document that repeats an earlier one, the positions of its lines to delete and the earlier ids.
+    """(doc_id, lines, passages, sources): for each document that repeats an earlier one, the lines that lose words, the words to delete as ranges [start, stop) and the earlier ids.
 
-    Rows without an id or a word take no part. Rows that share an id are one document: the
-    alignment sees each of their texts, and a position is deleted in all of them.
+    Rows without an id or a word take no part. Rows that share an id are one document: each
+    of their texts is compared, and a position is deleted in all of them.
     """
-    docs = table(signatures(df, doc_id, text))
-    each = docs.select("doc_id", F.explode("runs").alias("h"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
+    each = table(signatures(rows)).select("doc_id", F.explode("runs").alias("h"))
     shared = each.groupBy("h").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("holder < other").select("h", "holder")
-    pairs = each.join(shared, "h").where("holder < doc_id").select("doc_id", "holder").distinct()
-    later = pairs.join(docs.drop("runs"), "doc_id")
-    both = later.join(docs.select(F.col("doc_id").alias("holder"), F.col("hashes").alias("earlier")), "holder")
+    pairs = table(each.join(shared, "h").where("holder < doc_id").select("doc_id", "holder").distinct())
+    later = pairs.join(_perhaps(rows, pairs.select("doc_id")), "doc_id")
+    held = _perhaps(rows, pairs.select(F.col("holder").alias("doc_id"))).select(F.col("doc_id").alias("holder"), F.col("text").alias("earlier"))
+    both = later.join(held, "holder")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
         for b in batches(rows):
-            out = [doomed(*t) for t in zip(*(column(b, c).to_pylist() for c in ("earlier", "hashes", "words")))]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "holder"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "holder", "lines"])
-
-    cut = small_batches(both.select("doc_id", "holder", "earlier", "hashes", "words")).mapInArrow(run, "doc_id long, holder long, lines array<int>").where(F.size("lines") > 0)
+            ended, spans = [], []
+            for earlier, text in zip(as_bytes(b, "earlier"), as_bytes(b, "text")):
+                if known is None or earlier != last:
+                    last, known = earlier, word_runs(word_hashes(earlier)[0])
+                h, ends = word_hashes(text)
+                ended.append(_line_ends(h, ends).astype(np.int32) if len(h) else [])
+                spans.append([{"start": x, "stop": y} for x, y in _ranges(common_words(known, h))])
+            span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "holder"), pa.array(ended, pa.list_(pa.int32())), pa.array(spans, pa.list_(span))], ["doc_id", "holder", "ends", "passages"])
+
+    cut = small_batches(both.select("doc_id", "holder", "earlier", "text")).mapInArrow(run, "doc_id long, holder long, ends array<int>, passages array<struct<start:int,stop:int>>").where(F.size("passages") > 0)
     # a document has at most as many holders as runs
-    return cut.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.array_sort(F.collect_set("holder")).alias("sources"))
+    held = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("holder", "ends", "passages"))).alias("held"))
+
+    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            found = list(map(merged, column(b, "held").to_pylist()))
+            span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+            spans = [[{"start": x, "stop": y} for x, y in f[1]] for f in found]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array(spans, pa.list_(span)), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["doc_id", "lines", "passages", "sources"])
+
+    return small_batches(held).mapInArrow(merge, "doc_id long, lines array<int>, passages array<struct<start:int,stop:int>>, sources array<long>")
+
+
+def _perhaps(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the ids, and few others: a bitmap of hashed ids, 8 MB at most, keeps texts that no pair needs out of the shuffle."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
+    bits = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits"))
+    asked = rows.withColumn("p", place).join(F.broadcast(bits), F.expr("bitmap_bucket_number(p) = bucket"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bitmap_bit_position(p) div 8 + 1 as int), 1)), 16, 10) as int)")
+    return asked.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(p) % 8 as int))")) != 0).select(*rows.columns)
+
+
+def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])))).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def merged(held: list[dict]) -> tuple[list[int], list[tuple[int, int]], list[int]]:
+    """(lines, passages, sources) of a document from what it shares with each holder, the smallest id first."""
+    gone = np.zeros(max(p["stop"] for x in held for p in x["passages"]), bool)
+    touched, sources = set(), []
+    for x in held:
+        new = np.zeros(len(gone), bool)
+        for p in x["passages"]:
+            new[p["start"] : p["stop"]] = True
+        for a, b in _ranges(new & ~gone):
+            if b - a >= CHANCE or not gone[max(a - 1, 0) : b + 1].any():
+                gone[a:b] = True
+                touched.update(np.searchsorted(x["ends"], np.arange(a, b), side="right").tolist())
+                if x["holder"] not in sources:
+                    sources.append(x["holder"])
+    return sorted(touched), _ranges(gone), sources
 
 
 def cut_out(text: bytes, doomed_lines: list[int]) -> bytes:
     """The text without these lines; a line of the text that loses all its words goes whole."""
     _, words = lines(text)
     ends = np.cumsum(words)
-    gone = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
-    for k in doomed_lines:
-        if k < len(ends):
-            gone[ends[k] - words[k] : ends[k]] = True
+    return cut_words(text, [(int(ends[k] - words[k]), int(ends[k])) for k in doomed_lines if k < len(ends)])
+
+
+def cut_words(text: bytes, passages: list[tuple[int, int]]) -> bytes:
+    """The text without the words of these ranges; a line of the text that loses all its words goes whole."""
+    gone = np.zeros(len(text.split()), bool)
+    for a, b in passages:
+        gone[a:b] = True
     out, i = [], 0
     for line in text.split(b"\n"):
         spans = [m.span() for m in WORD.finditer(line)]
@@ -308,17 +401,17 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     Null texts and rows without an id stay as they are. Repeated rows stay repeated.
     Columns of df with these names give way to the new ones. An empty table stays empty.
     """
-    found = deletions(df, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("sources").alias("__sources"))
+    found = deletions(df, doc_id, text).select(F.col("doc_id").alias("__id"), F.size("lines").alias("__lines"), F.col("passages").alias("__passages"), F.col("sources").alias("__sources"))
 
     names = [c for c in df.columns if c not in ("lines_removed", "sources")]
 
     def rewrite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            cuts, texts = column(b, "__lines").to_pylist(), column(b, text)
+            cuts, texts = [[(p["start"], p["stop"]) for p in x or ()] for x in column(b, "__passages").to_pylist()], column(b, text)
             if any(cuts):
-                kept = [cut_out(x.encode("utf-8", "surrogatepass"), c).decode("utf-8", "surrogatepass") if c and x is not None else x for x, c in zip(texts.to_pylist(), cuts)]
+                kept = [cut_words(x.encode("utf-8", "surrogatepass"), c).decode("utf-8", "surrogatepass") if c and x is not None else x for x, c in zip(texts.to_pylist(), cuts)]
                 texts = pa.array(kept, texts.type)
-            gone = pa.array([len(c or ()) for c in cuts], pa.int64())
+            gone = pa.array([n or 0 for n in column(b, "__lines").to_pylist()], pa.int64())
             held = pa.array([x or [] for x in column(b, "__sources").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(texts if c == text else column(b, c) for c in names), gone, held], [*names, "lines_removed", "sources"])
 
@@ -328,7 +421,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document: how many lines it has and loses, which, and the ids of the documents that hold them already."""
+    """Every document: how many lines lose words, which, the words that go, and the ids of the documents that hold them already."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = deletions(docs)
     empty = F.expr("cast(array() as array<int>)")
@@ -336,5 +429,6 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
         "doc_id",
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("lines_removed"),
         F.array_join(F.coalesce("lines", empty).cast("array<string>"), ",").alias("removed"),
+        F.coalesce(F.array_join(F.transform("passages", lambda p: F.concat_ws("-", p["start"], p["stop"])), ","), F.lit("")).alias("passages"),
         F.coalesce("sources", F.expr("cast(array() as array<bigint>)")).alias("sources"),
     )

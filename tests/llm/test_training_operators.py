@@ -551,6 +551,21 @@ def test_repeated_passages_are_cut(spark):
         assert " ".join(mine[i][:45]) in out[i]["text"] and " ".join(mine[i][75:]) in out[i]["text"]
 
 
+def test_passages_inside_a_line_go_to_the_last_word():
+    """Passages of 40 to 60 words in two contexts always meet, and all their words go."""
+    rng = random.Random(14)
+    for n in range(1500):
+        words = lambda k: [b"%d" % rng.randrange(10**6) for _ in range(k)]
+        passage = words(40 + n % 21)
+        a, left, right = b" ".join(words(30) + passage + words(30)), words(rng.randint(0, 50)), words(rng.randint(0, 50))
+        b = b" ".join(left + passage + right)
+        x, y = (linededup.word_runs(linededup.word_hashes(t)[0]) for t in (a, b))
+        assert np.intersect1d(linededup.winnowed(x), linededup.winnowed(y)).size
+        gone = linededup.common_words(x, linededup.word_hashes(b)[0])
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).tolist()
+        assert edges == [len(left), len(left) + len(passage)] and linededup.cut_words(b, [edges]).split() == left + right
+
+
 def test_lines_cover_the_text(docs):
     for r in docs.collect():
         t = r["text"].encode()
