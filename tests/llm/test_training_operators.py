@@ -414,6 +414,28 @@ def test_window_entropy(spark):
         assert abs(h - brute_entropy(s, 20)) < 1e-9
 
 
+def test_secrets_of_long_and_dense_texts(spark):
+    """Long slugs and constant names, a long random string, one of few characters, and many matches in one text."""
+    rng = random.Random(16)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    key = lambda n: "".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(n))
+    many = [key(rng.randint(30, 40)) for _ in range(2000)]
+    texts = ["-".join(word(5) for _ in range(20_000)), "_".join(word(5).upper() for _ in range(20_000)), key(1_000_000), "abcdeF1g" * 20_000 + "x", " ".join(many), " ".join(f"token={word(12)} {key(3)} é" for _ in range(3000)), "1" * 100_000, "token" + " " * 100_000 + "x"]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i]["base"]] == brute_spans(t)
+    added = {i: [texts[i][s["start"] : s["end"]] for s in r["added"]] for i, r in got.items()}
+    assert not any(added[i] for i in (0, 1, 3, 5, 6, 7)) and added[2] == [texts[2]]
+    assert set(added[4]) == {s for s in many if brute_entropy(s, 20) >= (3.6 if s.isalnum() else 3.9) and re.search("[0-9]", s)} | {s for s in many if not re.search("[0-9]", s) and brute_entropy(s, 20) >= 3.8}
+
+
+def test_letters_of_both_cases_are_candidates(spark):
+    texts = ["a QwZxKvPtRnLbYcMdHsGj b", "a Donaudampfschifffahrtsgesellschaft b", "an HttpRequestHandlerFactoryBean here", "password=abcdefgh12345678 QwZxKvPtRnLbYcMdHsGj9=", "mytoken=Zx9QwLk2Pv7TnRb4Yc8MdHs1"]
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[texts[i][s["start"] : s["end"]] for s in r["added"]] for i, r in enumerate(out)] == [["QwZxKvPtRnLbYcMdHsGj"], [], [], ["QwZxKvPtRnLbYcMdHsGj9="], []]
+
+
 def test_secrets_of_odd_rows(odd, empty):
     out = secrets.scan(odd).collect()
     assert len(out) == len(ODD) and not any(r["base"] for r in out)
