@@ -156,8 +156,6 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-
-
 def tokenize(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every row.
 
@@ -193,12 +191,16 @@ def tokenize(df: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """Add `text`: the bytes of the ids as UTF-8. Null ids give null."""
-    ranks = tokens.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    ranks = load_ranks(ranks_path)
+    parts = [b""] * (max(ranks.values()) + 1)
+    for part, rank in ranks.items():
+        parts[rank] = part
+    shared = tokens.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("string")
     def back(series):
-        parts = {rank: part for part, rank in ranks.value.items()}
-        return series.map(lambda x: None if x is None else b"".join(map(parts.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace"))
+        part = shared.value.__getitem__
+        return series.map(lambda x: None if x is None else b"".join(map(part, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace"))
 
     return tokens.withColumn("text", back(ids))
 

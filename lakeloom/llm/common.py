@@ -13,53 +13,72 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch. A batch holds whole texts, so it is kept small for memory's sake.
 BATCH_ROWS = 500
 
-_made: list[tuple[object, str]] = []
+#: Bytes of an Arrow batch: a few very long texts fill one.
+BATCH_BYTES = 16 << 20
+
+_made: dict[str, tuple[object, object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and driver and executors are one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        import tempfile
-
-        path = tempfile.mkdtemp(prefix="lakeloom-checkpoints-")
-        spark.sparkContext.setCheckpointDir(path)
+    if path:
+        return path
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="lakeloom-checkpoints-")
+    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def table(df: DataFrame, keep: bool = False) -> DataFrame:
+def table(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut, and a lost executor costs no redo.
 
-    The table goes when the session ends, or when drop_tables() is called with its path.
+    The table goes when it is forgotten, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _made:
-        atexit.register(_drop_all)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_all() -> None:
-    for spark, path in _made:
+        atexit.register(forget)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    # the file system outlives the session
+    _made[path] = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more; without arguments all of this process."""
+    for path in [t.stored_at for t in tables] if tables else list(_made):
+        files, place = _made.pop(path)
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone; so is its right to delete
+            files.delete(place, True)
+        except Exception:  # the JVM has ended before us
             pass
-    _made.clear()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the rows of an Arrow batch for this session."""
+    """Bound the rows and bytes of an Arrow batch, for the rest of the session: the plan is made when df runs, long after this."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not held.lstrip("-").isdigit() or not 0 < int(held) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 

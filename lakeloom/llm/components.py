@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,18 +21,22 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = table(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
+        near = table(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
+        hook = near
         for _ in range(2):
             up = hook.select(F.col("u").alias("m"), F.col("m").alias("mm"))
             hook = hook.join(up, "m", "left").select("u", F.coalesce("mm", "m").alias("m"))
         hook = table(hook)
+        old = [near, left]
         if labels is None:
-            labels = hook.select(F.col("u").alias("node"), F.col("m").alias("root"))
+            labels = table(hook.select(F.col("u").alias("node"), F.col("m").alias("root")))
         else:
-            labels = labels.join(hook.select(F.col("u").alias("root"), "m"), "root", "left").select("node", F.coalesce("m", "root").alias("root"))
-        labels = table(labels)
-        left = left.join(hook.select(F.col("u").alias("a"), F.col("m").alias("ma")), "a").join(hook.select(F.col("u").alias("b"), F.col("m").alias("mb")), "b")
-        left = table(left.where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
+            old.append(labels)
+            labels = table(labels.join(hook.select(F.col("u").alias("root"), "m"), "root", "left").select("node", F.coalesce("m", "root").alias("root")))
+        met = left.join(hook.select(F.col("u").alias("a"), F.col("m").alias("ma")), "a").join(hook.select(F.col("u").alias("b"), F.col("m").alias("mb")), "b")
+        left = table(met.where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct())
+        forget(*old, hook)  # all that follows is written
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    forget(left)
     return labels

@@ -1,6 +1,7 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-One array of slots serves all languages: each slot is a bitmask with one bit a language, so
+One array of slots serves all languages: each slot is a bitmask with one bit a language, in
+as many 64-bit words as the languages need, so
 the AND of an n-gram's slots is the set of all languages whose filter holds it. A text's
 n-grams are looked up, their masks counted, and each language gets the number of n-grams it
 holds. A filter with fill f answers yes to an unknown n-gram with probability f to the power
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import as_text, batches, column, remainder, small_batches, table
 
-GRAM, SLOTS, HASHES, LANGUAGES = 4, 1 << 20, 2, 64
+GRAM, SLOTS, HASHES = 4, 1 << 20, 2
+#: More values of the language column than this are no languages: an error. The filter takes 8 MB for 64.
+LANGUAGES = 2048
 #: Documents of each language that teach its n-grams: about this many at most.
 TAUGHT = 20_000
 #: n-grams of each language kept: the most frequent ones that no other language uses RIVAL times as often.
@@ -42,10 +45,11 @@ def grams(text: str) -> np.ndarray:
     points = np.where(letter, points, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    if not letter.any():
+        return np.zeros(0, np.uint64)
     points = np.concatenate(([32], points[keep], [32])).astype(np.uint64)
+    points = np.concatenate((points, np.full(max(0, GRAM - len(points)), 32, np.uint64)))  # a lone letter at the end
     n = len(points) - GRAM + 1
-    if n < 1 or not letter.any():
-        return np.zeros(0, np.uint64)
     code = np.zeros(n, np.uint64)
     for j in range(GRAM):
         code = (code ^ points[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -62,19 +66,21 @@ class LanguageFilter:
 
     def __init__(self, names: list[str], known: dict[str, np.ndarray]):
         self.names = names
-        self.slots = np.zeros(SLOTS, np.uint64)
+        self.slots = np.zeros((len(names) + 63 >> 6, SLOTS), np.uint64)
+        fill = []
         for i, name in enumerate(names):
+            word, bit = self.slots[i >> 6], np.uint64(1 << (i & 63))
             for at in _slots(known[name]):
-                np.bitwise_or.at(self.slots, at, np.uint64(1 << i))
-        fill = [float(((self.slots >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(names))]
+                np.bitwise_or.at(word, at, bit)
+            fill.append(np.count_nonzero(word & bit) / SLOTS)
         self.false = np.array(fill) ** HASHES
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
-        """For each n-gram, the languages that hold it."""
+        """For each 64 languages a row: for each n-gram, those of them that hold it."""
         a, *more = _slots(codes)
-        found = self.slots[a]
+        found = self.slots[:, a]
         for at in more:
-            found = found & self.slots[at]
+            found = found & self.slots[:, at]
         return found
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -83,7 +89,7 @@ class LanguageFilter:
         if not len(codes) or not self.names:
             return "und", 0.0
         found = self.masks(codes)
-        held = np.array([np.count_nonzero(found & np.uint64(1 << i)) for i in range(len(self.names))], float)
+        held = np.array([np.count_nonzero(found[i >> 6] & np.uint64(1 << (i & 63))) for i in range(len(self.names))], float)
         held = np.maximum(0.0, (held - len(codes) * self.false) / (1.0 - self.false))
         if held.sum() <= 0:
             return self.names[0], 0.0
@@ -92,16 +98,16 @@ class LanguageFilter:
 
 
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageFilter:
-    """Learn from rows with a language and a text whose crc32 fold is not 0; at most LANGUAGES languages, the most frequent."""
+    """Learn from rows with a language and a text whose crc32 fold is not 0, every language there is."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(remainder("doc_id", FOLD) != 0)
-    sizes = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{lang} has more than {LANGUAGES} values")
     names = sorted(sizes)
     # a hash of the id picks the sample: the same rows on every run
-    pick = F.lit(False)
-    for name in names:
-        share = min(1.0, TAUGHT / sizes[name])
-        pick = pick | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1_000_000, TAUGHT * 1_000_000 // sizes[name]))]) if names else None
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] if names else F.lit(False)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -118,7 +124,7 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "
     counted = table(small_batches(rows.where(pick).select("lang", "text")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counted.where(F.col("n") >= RARE).join(F.broadcast(total), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("p"))
-    top = rate.groupBy("gram").agg(F.max("p").alias("best"), F.collect_list(F.struct("lang", "n", "p")).alias("every"))  # at most LANGUAGES
+    top = rate.groupBy("gram").agg(F.max("p").alias("best"), F.collect_list(F.struct("lang", "n", "p")).alias("every"))  # one for each language
     # a language holds a gram unless another uses it RIVAL times as often
     mine = table(top.select("gram", F.explode(F.filter("every", lambda x: x["p"] * RIVAL >= F.col("best"))).alias("x")).select("gram", "x.lang", "x.n"))
     known: dict[str, np.ndarray] = {}

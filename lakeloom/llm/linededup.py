@@ -1,17 +1,21 @@
-"""Line dedup by pairwise alignment, word by word.
-
-Documents meet through winnowed runs of BLOCK_WORDS words: the lowest hash among each WINDOW
-neighbouring runs. Documents that share a passage of BLOCK_WORDS + WINDOW - 1 words share
-all its windows, hence a run. For each run that several documents share, the document with the
-smallest id holds the original, and a later document is paired with the holders of its runs:
-as many pairs as shared runs at most, however many documents share one, and none that has
-nothing to delete. Of a pair, each common run of BLOCK_WORDS words is deleted from the later
-document, so a passage goes to its last word, and moved and repeated ones go as well.
+"""Line dedup by pairwise alignment.
+
+A line here is a run of BLOCK_WORDS words, wherever it begins: texts wrap their lines
+differently. Documents meet through winnowed line hashes, the lowest among each WINDOW
+neighbouring ones: documents that share a passage of BLOCK_WORDS + WINDOW - 1 words share all
+its windows, hence a hash. Hashes of one document alone go before the join. Of those that
+several share, the document with the smallest id holds the original, and a later document is
+paired with the holders of its hashes: as many pairs as shared hashes at most, however many
+documents share one, and none that has nothing to delete. Each pair is aligned by patience
+diff on the lines that occur once on both sides, and the aligned common blocks are deleted
+from the later document, to the last word. What an alignment leaves, moved blocks, is aligned
+again, and repetitions of an aligned block go with it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,57 +25,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, batches, column, small_batches, table
+from .common import as_bytes, batches, column, fresh, small_batches, table
 
-#: A word ends a line if no word has a lower hash among this many on either side. Ties count, so that a passage of a few words over and over is cut too.
-REACH = 4
 #: Words of the runs that pair documents, and of a common run that is deleted.
 BLOCK_WORDS = 25
 #: Neighbouring runs of words of which the lowest pairs documents: no common passage of 40 words is missed.
 WINDOW = 16
 #: Fewer words than this that a holder adds to the passage of a smaller one are neighbours by chance, and stay.
 CHANCE = 5
+#: Alignments of a pair; blocks that cross each other more often are taken one by one.
+ROUNDS = 32
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of a text, and where its lines end, counted in words."""
+    """The hash of each word of a text, and where each \\n-split line ends, counted in words."""
     hashes, ends = [], []
     for line in text.split(b"\n"):
-        words = line.split()
-        if words:
-            hashes.extend(map(xxhash.xxh3_64_intdigest, words))
-            ends.append(len(hashes))
+        hashes.extend(map(xxhash.xxh3_64_intdigest, line.split()))
+        ends.append(len(hashes))
     return np.array(hashes, np.uint64), np.array(ends, np.int64)
 
 
-def _line_ends(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where lines end, cut where their content says so as well."""
-    n = len(h)
-    last = np.ones(n, bool)
-    for k in range(1, min(REACH + 1, n)):
-        last[:-k] &= h[:-k] <= h[k:]
-        last[k:] &= h[k:] <= h[:-k]
-    last[ends - 1] = True
-    return np.flatnonzero(last) + 1
-
-
-def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, words) of each line of a text that has a word, lines cut where their content says so."""
-    h, ends = word_hashes(text)
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    ends = _line_ends(h, ends)
-    starts = np.concatenate(([0], ends[:-1]))
-    # position within the line weighs a word's hash
-    place = (np.arange(n) - np.repeat(starts, ends - starts)).astype(np.uint64)
-    mixed = (h ^ (h >> np.uint64(31))) * (place * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    out = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts)
-    return out.view(np.int64), (ends - starts).astype(np.int32)
-
-
 def word_runs(h: np.ndarray) -> np.ndarray:
     """The key of each run of BLOCK_WORDS words."""
     n = len(h) - BLOCK_WORDS + 1
@@ -97,94 +72,43 @@ def winnowed(keys: np.ndarray) -> np.ndarray:
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Flags of the words of b, the later document, in runs of BLOCK_WORDS words that a has too. a: its word_runs."""
-    starts = np.flatnonzero(np.isin(word_runs(b), a))
+    """Flags of the words of b, the later document, in blocks aligned with a. a: its word_runs; b: its word hashes."""
+    runs = word_runs(b)
+    left = np.isin(runs, a)
+    taken = np.zeros(len(runs), bool)
+    mine = np.flatnonzero(np.isin(a, runs)) if left.any() else left
+    for _ in range(ROUNDS):
+        if not left.any():
+            break
+        aligned = _rising(_anchors(a, mine, runs, np.flatnonzero(left)))
+        now = left & np.isin(runs, runs[[j for _, j in aligned]])  # with the repetitions
+        taken |= now
+        left &= ~now
+    starts = np.flatnonzero(taken | left)
     return _cover(starts, starts + BLOCK_WORDS, len(b))
 
 
-_made: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, or more, of an odd base and of its inverse, modulo 2 ** 64; some are remembered."""
-    known = _made.get("powers")
-    if known is None or len(known[0]) < n:
-        base = 0x9E3779B97F4A7C15
-        known = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 12), x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
-        if n <= 1 << 16:
-            _made["powers"] = known
-    return known
-
-
-def windows(hashes: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(key, end) of the shortest run of lines with `least` words from each line on, as far as there is one."""
-    total = np.cumsum(words, dtype=np.int64)
-    end = np.searchsorted(total, total - words + least) + 1
-    n = int(np.searchsorted(end, len(words), side="right"))
-    # prefix sums of a polynomial in an odd base; its inverse takes a run back to power zero
-    power, back = _powers(len(words))
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.int64).view(np.uint64) * power[: len(words)])))
-    key = (prefix[end[:n]] - prefix[:n]) * back[:n]
-    key ^= key >> np.uint64(32)
-    return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), end[:n]
-
-
-def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Patience diff of two hash sequences: matched positions, rising in both.
-
-    Where no line occurs once on both sides, the first occurrences are matched, the second
-    ones, and so on.
-    """
-    out: list[tuple[int, int]] = []
-    stack = [(0, len(a), 0, len(b))]
-    while stack:
-        i, m, j, n = stack.pop()
-        while i < m and j < n and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        while i < m and j < n and a[m - 1] == b[n - 1]:
-            m, n = m - 1, n - 1
-            out.append((m, n))
-        if i == m or j == n:
-            continue
-        for places in (_once, _numbered):
-            known = places(a, i, m)
-            pairs = [(known[x], q) for x, q in sorted(places(b, j, n).items(), key=lambda t: t[1]) if x in known]
-            if pairs:
-                break
-        anchors = _rising(pairs)
-        p, q = i, j
-        for x, y in anchors:
-            out.append((x, y))
-            stack.append((p, x, q, y))
-            p, q = x + 1, y + 1
-        if anchors:
-            stack.append((p, m, q, n))
-    return sorted(out)
-
-
-def _once(x: list[int], i: int, m: int) -> dict[int, int]:
-    """Values that occur once in x[i:m], with their positions."""
-    at: dict[int, int] = {}
-    for k in range(i, m):
-        at[x[k]] = -1 if x[k] in at else k
-    return {v: k for v, k in at.items() if k >= 0}
-
-
-def _numbered(x: list, i: int, m: int) -> dict[tuple, int]:
-    """The positions of x[i:m] by value and number of the occurrence."""
+def _anchors(a: np.ndarray, mine: np.ndarray, b: np.ndarray, yours: np.ndarray) -> list[tuple[int, int]]:
+    """Positions of equal values, by position in b: of those that occur once on both sides, or, if there are none, the first occurrence of each with the first, the second with the second, and so on."""
+    (x, i, n), (y, j, m) = (np.unique(v[at], return_index=True, return_counts=True) for v, at in ((a, mine), (b, yours)))
+    _, p, q = np.intersect1d(x[n == 1], y[m == 1], assume_unique=True, return_indices=True)
+    if len(p):
+        pairs = np.column_stack((mine[i[n == 1][p]], yours[j[m == 1][q]]))
+        return list(map(tuple, pairs[np.argsort(pairs[:, 1])].tolist()))
+    places: dict = {}
+    for k in mine.tolist():
+        places.setdefault(a[k], []).append(k)
     seen: dict = {}
-    at: dict[tuple, int] = {}
-    for k in range(i, m):
-        seen[x[k]] = seen.get(x[k], 0) + 1
-        at[x[k], seen[x[k]]] = k
-    return at
+    out = []
+    for k in yours.tolist():
+        nth = seen[b[k]] = seen.get(b[k], -1) + 1
+        if nth < len(places[b[k]]):
+            out.append((places[b[k]][nth], k))
+    return out
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest subsequence that rises in the first member, by patience sorting."""
-    from bisect import bisect_left
-
     tops: list[int] = []
     piles: list[int] = []
     back = [-1] * len(pairs)
@@ -203,58 +127,18 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def doomed(a: list[int], b: list[int], words: list[int]) -> list[int]:
-    """Lines of b, the later document, in aligned runs of at least BLOCK_WORDS words.
+_made: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    The alignment is repeated on what is left of b while that holds a run that a has too.
-    Repetitions of an aligned run within b go with it.
-    """
-    both = set(a).intersection(b)
-    mine = [i for i, x in enumerate(a) if x in both]
-    found = _aligned(a, mine, b, [j for j, x in enumerate(b) if x in both], words)
-    gone = set(found)
-    run, before = 0, -2
-    for j, x in enumerate(b):
-        if x in both and j not in gone:
-            run, before = (run if j == before + 1 else 0) + words[j], j
-            if run >= BLOCK_WORDS:  # there may be a common run left
-                return _again(a, mine, b, words, found)
-    return found
-
-
-def _again(a: list[int], mine: list[int], b: list[int], words: list[int], found: list[int]) -> list[int]:
-    """doomed() once the lines found by the first alignment are gone. mine: positions of a whose lines b has too."""
-    sizes = dict(zip(b, words))
-    keys, ends = windows(np.array(b, np.int64), np.array(words, np.int64))
-    # a line that b lacks ends a window of a: such a window equals none of b
-    held, _ = windows(np.array(a, np.int64), np.array([sizes.get(x, BLOCK_WORDS) for x in a], np.int64))
-    common = np.isin(keys, held)
-    gone, left = np.zeros(len(b), bool), {a[i] for i in mine}
-    while True:
-        gone[found] = True
-        taken = np.concatenate(([0], np.cumsum(gone)))
-        whole = common & (taken[ends] - taken[: len(ends)] == ends - np.arange(len(ends)))
-        again = np.flatnonzero(np.isin(keys, keys[whole]))
-        gone |= _cover(again, ends[again], len(b))
-        taken = np.concatenate(([0], np.cumsum(gone)))
-        starts = np.flatnonzero(common & (taken[ends] == taken[: len(ends)]))
-        if not len(starts):
-            return np.flatnonzero(gone).tolist()
-        found = _aligned(a, mine, b, [j for j in np.flatnonzero(~gone).tolist() if b[j] in left], words)
-        if not found:  # blocks cross each other: the first one by itself
-            found = _stretched(a, b, int(np.flatnonzero(held == keys[starts[0]])[0]), int(starts[0]), int(ends[starts[0]]))
-            common[starts[0]] = False
-
-
-def _stretched(a: list, b: list, i: int, j: int, end: int) -> list[int]:
-    """Positions of b in the longest common run about b[j:end], which is a[i:] so far; none if it isn't."""
-    if a[i : i + end - j] != b[j:end]:
-        return []
-    while i and j and a[i - 1] == b[j - 1]:
-        i, j = i - 1, j - 1
-    while end < len(b) and i + end - j < len(a) and a[i + end - j] == b[end]:
-        end += 1
-    return list(range(j, end))
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or more, of an odd base and of its inverse, modulo 2 ** 64; some are remembered."""
+    known = _made.get("powers")
+    if known is None or len(known[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        known = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 12), x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
+        if n <= 1 << 16:
+            _made["powers"] = known
+    return known
 
 
 def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -265,23 +149,6 @@ def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _aligned(a: list[int], mine: list[int], b: list[int], yours: list[int], words: list[int]) -> list[int]:
-    """Positions of b in runs of neighbouring aligned lines with at least BLOCK_WORDS words; mine and yours are the positions to align."""
-    out: list[int] = []
-    run: list[int] = []
-    total, before = 0, (-2, -2)
-    for i, j in align([a[i] for i in mine], [b[j] for j in yours]):
-        i, j = mine[i], yours[j]
-        if (i, j) != (before[0] + 1, before[1] + 1):
-            if total >= BLOCK_WORDS:
-                out += run
-            run, total = [], 0
-        run.append(j)
-        total += words[j]
-        before = (i, j)
-    return out + run if total >= BLOCK_WORDS else out
-
-
 def signatures(df: DataFrame) -> DataFrame:
     """(doc_id, runs): the distinct winnowed runs of every row. df: doc_id, text."""
 
@@ -294,7 +161,7 @@ def signatures(df: DataFrame) -> DataFrame:
 
 
 def deletions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lines, passages, sources): for each document that repeats an earlier one, the lines that lose words, the words to delete as ranges [start, stop) and the earlier ids.
+    """(doc_id, lines, passages, sources): for each document that repeats an earlier one, the numbers of the \\n-split lines that lose words, the words to delete as ranges [start, stop) and the earlier ids.
 
     Rows without an id or a word take no part. Rows that share an id are one document: each
     of their texts is compared, and a position is deleted in all of them.
@@ -315,7 +182,7 @@ def deletions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 if known is None or earlier != last:
                     last, known = earlier, word_runs(word_hashes(earlier)[0])
                 h, ends = word_hashes(text)
-                ended.append(_line_ends(h, ends).astype(np.int32) if len(h) else [])
+                ended.append(ends.astype(np.int32))
                 spans.append([{"start": x, "stop": y} for x, y in _ranges(common_words(known, h))])
             span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "holder"), pa.array(ended, pa.list_(pa.int32())), pa.array(spans, pa.list_(span))], ["doc_id", "holder", "ends", "passages"])
@@ -365,13 +232,6 @@ def merged(held: list[dict]) -> tuple[list[int], list[tuple[int, int]], list[int
     return sorted(touched), _ranges(gone), sources
 
 
-def cut_out(text: bytes, doomed_lines: list[int]) -> bytes:
-    """The text without these lines; a line of the text that loses all its words goes whole."""
-    _, words = lines(text)
-    ends = np.cumsum(words)
-    return cut_words(text, [(int(ends[k] - words[k]), int(ends[k])) for k in doomed_lines if k < len(ends)])
-
-
 def cut_words(text: bytes, passages: list[tuple[int, int]]) -> bytes:
     """The text without the words of these ranges; a line of the text that loses all its words goes whole."""
     gone = np.zeros(len(text.split()), bool)
@@ -395,28 +255,32 @@ def cut_words(text: bytes, passages: list[tuple[int, int]]) -> bytes:
     return b"\n".join(out)
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with a new text, and lines_removed (long) and sources (array<long>).
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", names: tuple[str, str] | None = None) -> DataFrame:
+    """df with a new text, and two more columns: how many lines lost words (long), and the ids that hold them (array<long>).
 
-    Null texts and rows without an id stay as they are. Repeated rows stay repeated.
-    Columns of df with these names give way to the new ones. An empty table stays empty.
+    The columns are called `names`, which df must not have; by default lines_removed and
+    sources, with underscores while df has a column of that name. Null texts and rows
+    without an id stay as they are. Repeated rows stay repeated. An empty table stays empty.
     """
-    found = deletions(df, doc_id, text).select(F.col("doc_id").alias("__id"), F.size("lines").alias("__lines"), F.col("passages").alias("__passages"), F.col("sources").alias("__sources"))
-
-    names = [c for c in df.columns if c not in ("lines_removed", "sources")]
+    lost, holders = names or (fresh(df, "lines_removed"), fresh(df, "sources"))
+    if lost == holders or {lost.lower(), holders.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the names {lost} and {holders} are taken")
+    columns = df.columns
+    own = {x: fresh(df, x) for x in ("found_id", "found_lines", "found_passages", "found_sources")}
+    found = deletions(df, doc_id, text).select(*[c.alias(n) for c, n in zip((F.col("doc_id"), F.size("lines"), F.col("passages"), F.col("sources")), own.values())])
 
     def rewrite(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            cuts, texts = [[(p["start"], p["stop"]) for p in x or ()] for x in column(b, "__passages").to_pylist()], column(b, text)
+            cuts, texts = [[(p["start"], p["stop"]) for p in x or ()] for x in column(b, own["found_passages"]).to_pylist()], column(b, text)
             if any(cuts):
                 kept = [cut_words(x.encode("utf-8", "surrogatepass"), c).decode("utf-8", "surrogatepass") if c and x is not None else x for x, c in zip(texts.to_pylist(), cuts)]
                 texts = pa.array(kept, texts.type)
-            gone = pa.array([n or 0 for n in column(b, "__lines").to_pylist()], pa.int64())
-            held = pa.array([x or [] for x in column(b, "__sources").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(texts if c == text else column(b, c) for c in names), gone, held], [*names, "lines_removed", "sources"])
+            gone = pa.array([n or 0 for n in column(b, own["found_lines"]).to_pylist()], pa.int64())
+            held = pa.array([x or [] for x in column(b, own["found_sources"]).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(texts if c == text else column(b, c) for c in columns), gone, held], [*columns, lost, holders])
 
-    joined = small_batches(df.select(*names)).join(found, F.col(doc_id) == F.col("__id"), "left").drop("__id")
-    schema = T.StructType([*df.select(*names).schema, T.StructField("lines_removed", T.LongType()), T.StructField("sources", T.ArrayType(T.LongType()))])
+    joined = small_batches(df).join(found, F.col(doc_id).cast("long") == F.col(own["found_id"]), "left").drop(own["found_id"])
+    schema = T.StructType([*df.schema, T.StructField(lost, T.LongType()), T.StructField(holders, T.ArrayType(T.LongType()))])
     return joined.mapInArrow(rewrite, schema)
 
 

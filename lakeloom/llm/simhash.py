@@ -18,16 +18,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, column, small_batches, table
+from .common import as_bytes, batches, column, forget, fresh, small_batches, table
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 FAN = 8
-#: Fingerprints in one cell of a bucket; larger buckets are cut into blocks whose pairs are the cells.
+#: Fingerprints in one block of a bucket; the pairs of a larger bucket's blocks are cells of their own.
 CELL = 20_000
+#: So many keys of larger buckets are broadcast (2 MB); more are joined.
+HOT_KEYS = 100_000
 #: (segments, segments that must agree) -> used while a bucket is expected to hold fewer random fingerprints than this.
 EXPECTED = 2_000
 CHUNK = 1 << 21
@@ -51,15 +53,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of every row. A null text has no words: 0."""
+def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
+    """(doc_id, fp), and more long columns between them: the signed 64-bit fingerprint of every row. A null text has no words: 0."""
+    names = ["doc_id", *more]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
             fps = np.array([fingerprint(x) for x in as_bytes(b, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in names), pa.array(fps)], [*names, "fp"])
 
-    return small_batches(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = small_batches(df).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(c.alias(n) for n, c in more.items()))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def segment_masks(n: int, distance: int) -> list[int]:
@@ -178,22 +182,26 @@ def _links(rows: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordB
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Distinct (fp) -> (a, b): links that join all that is within the distance, at most n - 1 a bucket.
 
-    Buckets over `cell` fingerprints are cut into blocks; each pair of blocks is a cell of
-    its own. `cell` grows with the input, so the hot buckets broadcast are at most 100,000.
+    Buckets over CELL fingerprints are cut into blocks of about CELL; each pair of blocks is
+    a cell of its own, so no task holds more than two blocks at a time, however large the input.
     """
-    n = fps.count()
-    masks = segment_masks(n, distance)
-    cell = max(CELL, len(masks) * n // 100_000)
+    masks = segment_masks(fps.count(), distance)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])).alias("k")).select("k.t", "k.key", "fp")
-    hot = keyed.groupBy("t", "key").count().where(F.col("count") > cell).select("t", "key", F.ceil(F.col("count") / cell).cast("int").alias("blocks"))
-    cells = keyed.join(F.broadcast(hot), ["t", "key"], "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
+    hot = table(keyed.groupBy("t", "key").count().where(F.col("count") > CELL).select("t", "key", F.ceil(F.col("count") / CELL).cast("int").alias("blocks")))
+    cells = keyed.join(F.broadcast(hot) if hot.count() <= HOT_KEYS else hot, ["t", "key"], "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
     others = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y")))
     cells = cells.select("t", "key", "fp", F.explode(others).alias("c")).select("t", "key", "c.x", "c.y", "fp")
     cells = cells.repartition("t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
     return cells.mapInArrow(lambda rows: _links(rows, distance), "a long, b long")
 
 
+def _rooted(points: DataFrame, distance: int) -> DataFrame:
+    """points (fp, ...) with the root of each fingerprint's component, a fingerprint of it."""
+    roots = components(links(points.select("fp"), distance))
+    return table(points.join(roots, points.fp == roots.node, "left").select(*points.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id linked through fingerprints.
 
@@ -205,13 +213,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     """
     docs = table(fingerprints(df, doc_id, text))
     points = table(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(points.select("fp"), distance))
-    rooted = table(points.join(roots, points.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(points, distance)
+    forget(points)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of df, all columns, one of each component of near duplicates.
+
+    That with the smallest doc_id stays; of several such rows (ids may repeat) that with the
+    smallest hash of all its columns. Rows without an id stay only if no row of the
+    component has one. Rows alike in every column count as one. Unrelated texts under one
+    doc_id are different documents and both stay.
+    """
+    names = [fresh(df, f"row_key_{k}") for k in (1, 2)]  # 128 bits
+    whole = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    keyed = df.withColumns({n: F.xxhash64(F.lit(n), *whole) for n in names})
+    docs = table(fingerprints(keyed, doc_id, text, a=F.col(names[0]), b=F.col(names[1])))
+    points = table(docs.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "a", "b")).alias("first")))
+    forget(docs)
+    chosen = _rooted(points, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.a").alias(names[0]), F.col("first.b").alias(names[1]))
+    return keyed.join(chosen, names, "left_semi").dropDuplicates(names).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batches, bounded_ids, column, remainder, small_batches, table
 
 FOLD, HELD = 3, 1
-#: The classifier is fitted on at most this many labelled documents of each label, and this many sentences.
+#: The classifier is fitted on at most this many labelled documents of each label, and this many sentences; a longer sentence is cut into chains of so many words.
 TAUGHT, SENTENCES, SENTENCE_WORDS = 15_000, 12_000, 100
 SLOTS, PREFIXES = 1 << 18, (4, 5)
 #: A word teaches the toxic tag if its odds in toxic documents are LIFT times those in clean ones and SHARE of the toxic ones have it.
@@ -238,13 +238,12 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
         for b in batches(parts):
             out = []
             for x, y in zip(as_bytes(b, "text"), column(b, "toxic").to_pylist()):
-                for s in re.split(rb"(?<=[.!?])[\x20\x09-\x0D]+", x):
-                    words = list(map(normal, s.split()))
-                    if 0 < len(words) <= SENTENCE_WORDS:
-                        tags = [int(y and (w in lexicon or (len(w) > PREFIXES[-1] and f"{w[: PREFIXES[-1]]}\n" in lexicon))) for w in words]
-                        mark = xxhash.xxh3_64_intdigest(s) >> 1
-                        if any(tags) or mark % 16 == 0:
-                            out.append((int(any(tags)), mark, " ".join(w or "-" for w in words), "".join(map(str, tags))))
+                for words in _chains(x):
+                    tags = [int(y and (w in lexicon or (len(w) > PREFIXES[-1] and f"{w[: PREFIXES[-1]]}\n" in lexicon))) for w in words]
+                    said = " ".join(w or "-" for w in words)
+                    mark = xxhash.xxh3_64_intdigest(said) >> 1
+                    if any(tags) or mark % 16 == 0:
+                        out.append((int(any(tags)), mark, said, "".join(map(str, tags))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], [], []), (pa.int32(), pa.int64(), pa.string(), pa.string()))], ["hit", "mark", "words", "tags"])
 
     picked = table(taught.mapInArrow(pick, "hit int, mark long, words string, tags string"))
@@ -271,6 +270,14 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     return model
 
 
+def _chains(text: bytes) -> Iterator[list[str]]:
+    """The normal words of each sentence, long ones in pieces of SENTENCE_WORDS."""
+    for sentence in re.split(rb"(?<=[.!?])[\x20\x09-\x0D]+", text):
+        words = list(map(normal, sentence.split()))
+        for i in range(0, len(words), SENTENCE_WORDS):
+            yield words[i : i + SENTENCE_WORDS]
+
+
 def _counts(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
     words = list(seen[0].keys() | seen[1].keys())
     return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], ["word", "clean", "toxic"])
@@ -337,4 +344,5 @@ def _logistic(w: np.ndarray, p: np.ndarray) -> float:
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return out.select("doc_id", (remainder("doc_id", FOLD) == HELD).alias("held_out"), "score", "predicted")
+    said = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("doc_id", (remainder("doc_id", FOLD) == HELD).alias("held_out"), "score", "predicted", said.alias("spans"))

@@ -168,7 +168,48 @@ def test_language_on_held_out_rows(docs):
     held = [r["lang_pred"] == lang[r["doc_id"]] for r in got if fold(r["doc_id"], 5) == 0]
     assert sum(held) >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got)
     code = language.grams("the quick brown fox")
-    assert len(code) == len("  the quick brown fox") - 2 - 1 and model.masks(code).dtype == np.uint64
+    assert len(code) == len("  the quick brown fox") - 2 - 1 and model.masks(code).shape == (1, len(code))
+
+
+def brute_language(text, known, false):
+    """Counts of the n-grams that each language taught, plainly, from sets."""
+    codes = language.grams(text).tolist()
+    held = {n: max(0.0, (sum(c in k for c in codes) - len(codes) * f) / (1 - f)) for (n, k), f in zip(known.items(), false)}
+    return max(held, key=lambda n: (held[n], -sorted(held).index(n))) if codes else "und"
+
+
+def test_language_equals_plain_counts(docs):
+    """The filter against sets of the n-grams themselves: the languages said are the same, and every taught n-gram is found."""
+    kept = {}
+    made = language.LanguageFilter.__init__
+
+    def spy(self, names, known):
+        kept.update({n: set(known[n].tolist()) for n in names})
+        made(self, names, known)
+
+    language.LanguageFilter.__init__ = spy
+    try:
+        model = language.fit(docs)
+    finally:
+        language.LanguageFilter.__init__ = made
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == brute_language(r["text"], kept, [0.0] * len(kept))
+    for i, n in enumerate(model.names):
+        assert (model.masks(np.array(list(kept[n]), np.uint64))[i >> 6] >> np.uint64(i & 63) & np.uint64(1)).all()
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    """70 languages, each with words of its own; a text of one letter has a language too."""
+    rng = random.Random(15)
+    letters = [chr(0x4E00 + 5 * i + k) for i in range(70) for k in range(5)]
+    rows = [(i, "".join(rng.choice(letters[5 * (i % 70) : 5 * (i % 70) + 5]) for _ in range(200)), f"l{i % 70:02}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(df, model).collect()}
+    held = [i for i in got if fold(i, 5) == 0]
+    assert len(model.names) == 70 and all(got[i] == f"l{i % 70:02}" for i in held)
+    assert len(language.grams("a")) == len(language.grams("12 a")) == 1 and not len(language.grams("12 !"))
 
 
 def test_language_of_odd_rows(spark, odd, empty, docs):
@@ -306,6 +347,21 @@ def test_toxic_documents_on_held_out_rows(insults):
     assert {r["doc_id"] for r in toxicity.without_toxic(df, model).collect()} == {i for i in got if not got[i]["predicted"]}
 
 
+def test_texts_without_sentence_marks_are_learnt(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(400):
+        words = [rng.choice("the a one tree house river walks to sings over under with green blue".split()) for _ in range(150)]
+        if i % 4 == 0:
+            for at in rng.sample(range(150), 5):
+                words[at] = rng.choice(["scoundrel", "dimwit", "blighter"])
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = toxicity.score(df, toxicity.fit(df, spark.createDataFrame([(i, 1, y) for i, _, y in rows], LABELS))).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got if fold(r["doc_id"], 3) == 1)
+    assert [len(x) for x in toxicity._chains(b"a " * 250 + b"b. c")] == [100, 100, 51, 1]
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty, insults):
     model = toxicity.fit(*insults)
     assert all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in toxicity.score(odd, model).collect())
@@ -482,15 +538,62 @@ def test_leaks_are_found(spark, docs):
     assert len(want & got) >= 0.97 * len(want)
     # brute force: every pair's subsequence over the whole document
     for d, k in got - want:
-        a, b = decontaminate.terms_of(items[k].encode()).tolist(), decontaminate.terms_of(dict(rows).get(d, flat.get(d, "")).encode()).tolist()
+        a, b = decontaminate.words_of(items[k].encode()), decontaminate.words_of(dict(rows).get(d, flat.get(d, "")).encode())
         assert brute_lcs(a, b) >= decontaminate.WITH_ANSWER * len(a)
     kept = {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()}
     assert kept == {r["doc_id"] for r in df.collect()} - {d for d, _ in got}
 
 
+def test_short_items_are_found_word_for_word(spark):
+    texts = ["no item here at all", "The capital, of Peru is Lima.", "of Peru the capital", "capital of peru: lima", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Capital of Peru"), (2, "Lima"), (3, "..."), (4, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["first_word"]) for r in decontaminate.find(df, bench).collect()}
+    assert got == {(1, 1, 1), (1, 2, 5), (3, 1, 0), (3, 2, 3)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(df, bench).collect()} == {0, 2, 4, 5}
+
+
+def test_words_that_share_a_term_are_not_equal(spark, monkeypatch):
+    """Words that collide among the hashed terms count as different words of the subsequence."""
+    seen, pairs = {}, []
+    for i in range(40_000):
+        t = zlib.crc32(b"w%d" % i) & (decontaminate.TERMS - 1)
+        if t in seen and len(pairs) < 12:
+            pairs.append((seen.pop(t), f"w{i}"))
+        seen[t] = f"w{i}"
+    item, other = (" ".join(p[k] for p in pairs) for k in (0, 1))
+    assert (decontaminate.terms_of(item.encode()) == decontaminate.terms_of(other.encode())).all()
+    df = spark.createDataFrame([(1, item), (2, other), (3, "something else entirely")], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEMS", 1)
+    bench = spark.createDataFrame([(1, item), (2, "another item that nobody has said so far")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()} == {(1, 1)}
+
+
+def test_recall_against_brute_force(spark, docs):
+    """Items with 10 to 30 % of their words replaced, in texts: candidates by cosine miss at most a tenth of what every pair's subsequence finds."""
+    rng = random.Random(19)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    host = [r["text"].split() for r in docs.collect() if len(r["text"].split()) > 60][:60]
+    vocabulary = [w for h in host for w in h]
+    rows = []
+    for n, (_, t) in enumerate(items):
+        words = [w if rng.random() > (0.1, 0.2, 0.3)[n % 3] else rng.choice(vocabulary) for w in t.split()]
+        around = host[n % len(host)][:200]
+        rows.append((n, " ".join(around[:100] + words + around[100:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = set()
+    for d, text in rows:
+        for k, item in items:
+            a, b = decontaminate.words_of(item.encode()), decontaminate.words_of(text.encode())
+            if len(set(a) & set(b)) >= 0.5 * len(set(a)) and brute_lcs(a, b[60:200]) >= decontaminate.ALONE * len(a):
+                want.add((d, k))
+    assert len(want) >= len(items) // 2 and len(want & got) >= 0.9 * len(want)
+
+
 def test_leaks_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "same text here and there in the rows"), (2, None), (3, "short")], "item_id long, text string")
-    assert {r["doc_id"] for r in decontaminate.find(odd, bench).collect()} == {4, 5}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(odd, bench).collect()} == {(4, 1), (5, 1)}
     assert decontaminate.find(empty, bench).collect() == []
     assert decontaminate.find(odd, bench.where("false")).collect() == []
 
@@ -498,55 +601,45 @@ def test_leaks_of_odd_rows(spark, odd, empty):
 # ---- 10
 
 
-def test_patience_alignment():
+def test_patience_anchors_rise():
     rng = random.Random(10)
     for _ in range(200):
-        a = [rng.randint(0, 30) for _ in range(rng.randint(0, 25))]
-        b = a[:] if rng.random() < 0.3 else [rng.choice(a or [1]) if rng.random() < 0.6 else rng.randint(0, 30) for _ in range(20)]
-        pairs = linededup.align(np.array(a, np.int64), np.array(b, np.int64))
-        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
-        if a == b:
-            assert len(pairs) == len(a)
-
-
-def test_common_runs_equal_brute_force():
-    """Moved, crossed and repeated blocks included: only lines of common runs go, and no common run with enough words is left."""
+        a = np.array([rng.randint(0, 30) for _ in range(rng.randint(1, 25))], np.int64)
+        b = a.copy() if rng.random() < 0.3 else np.array([rng.choice(a.tolist()) if rng.random() < 0.6 else rng.randint(31, 60) for _ in range(20)], np.int64)
+        mine, yours = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+        anchors = linededup._anchors(a, mine, b, yours)
+        pairs = linededup._rising(anchors)
+        assert all(a[i] == b[j] for i, j in anchors) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        assert bool(pairs) == bool(len(yours))
+        once = [x for x in a[mine] if (a == x).sum() == (b == x).sum() == 1]
+        assert not once or sorted(once) == sorted(a[i] for i, _ in anchors)
+
+
+@pytest.mark.parametrize("rounds", [32, 1])
+def test_aligned_blocks_equal_brute_force(monkeypatch, rounds):
+    """Moved, crossed and repeated blocks included: the words that go are those of all common runs of BLOCK_WORDS words."""
+    monkeypatch.setattr(linededup, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(linededup, "ROUNDS", rounds)
     rng = random.Random(12)
     hits = 0
-    for n in range(600):
-        kinds = rng.choice((3, 12, 60))
-        size = {h: rng.randint(1, 14) for h in range(kinds)}
-        a = [rng.randrange(kinds) for _ in range(rng.randint(0, 40))]
+    for _ in range(400):
+        kinds = rng.choice((2, 8, 60))
+        a = [rng.randrange(kinds) for _ in range(rng.randint(0, 60))]
         b = [rng.randrange(kinds) for _ in range(rng.randint(0, 10))]
-        for _ in range(rng.randint(0, 4)):
+        for _ in range(rng.randint(0, 5)):
             i = rng.randint(0, len(a))
             b += a[i : i + rng.randint(1, 12)] * rng.randint(1, 3) + [rng.randrange(kinds) for _ in range(rng.randint(0, 3))]
-        got = linededup.doomed(a, b, [size[x] for x in b])
-        want, left = set(), [-1 if j in got else x for j, x in enumerate(b)]
-        for i in range(len(a)):
-            for j in range(len(b)):
-                for text in (b, left):
-                    k = 0
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == text[j + k]:
-                        k += 1
-                    if sum(size[x] for x in b[j : j + k]) >= linededup.BLOCK_WORDS:
-                        assert text is b
-                        want.update(range(j, j + k))
-        assert want.issuperset(got) and bool(want) == bool(got)
+        x, y = (linededup.word_hashes(" ".join(map(str, t)).encode())[0] for t in (a, b))
+        runs = {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
+        want = {j + k for j in range(len(b) - 4) if tuple(b[j : j + 5]) in runs for k in range(5)}
+        assert set(np.flatnonzero(linededup.common_words(linededup.word_runs(x), y)).tolist()) == want
         hits += len(want) > 0
     assert hits > 100
 
 
-def test_windows_are_the_same_wherever_they_stand():
-    rng = np.random.default_rng(13)
-    run, sizes = rng.integers(-(2**62), 2**62, 9), rng.integers(5, 9, 9)
-    keys, ends = linededup.windows(run, sizes)
-    assert all(sizes[i:e].sum() >= linededup.BLOCK_WORDS > sizes[i : e - 1].sum() for i, e in enumerate(ends))
-    more = np.concatenate((rng.integers(0, 99, 5), run, run)), np.concatenate((np.full(5, 3), sizes, sizes))
-    again = linededup.windows(*more)[0]
-    assert (again[5 : 5 + len(keys)] == keys).all() and (again[14 : 14 + len(keys)] == keys).all()
-    assert len(set(linededup.windows(run, sizes)[0]) & set(linededup.windows(run[::-1], sizes)[0])) == 0
-    assert len(linededup.windows(run[:0], sizes[:0])[0]) == 0
+def test_long_periodic_texts_are_aligned_at_once():
+    a, b = (linededup.word_hashes(b"ab cd " * n)[0] for n in (20, 30_000))
+    assert linededup.common_words(linededup.word_runs(a), b).all() and linededup.common_words(linededup.word_runs(b), a).all()
 
 
 def test_repeated_passages_are_cut(spark):
@@ -588,12 +681,39 @@ def test_passages_inside_a_line_go_to_the_last_word():
         assert edges == [len(left), len(left) + len(passage)] and linededup.cut_words(b, [edges]).split() == left + right
 
 
-def test_lines_cover_the_text(docs):
-    for r in docs.collect():
-        t = r["text"].encode()
-        hashes, words = linededup.lines(t)
-        assert words.sum() == len(t.split()) and linededup.cut_out(t, []) == t
-        assert linededup.cut_out(t, list(range(len(words)))).split() == []
+def test_whole_documents_equal_brute_force(spark):
+    """Every passage of 40 words or more that an earlier document has is gone, and no word outside a common run of 25; texts under 25 words stay."""
+    rng = random.Random(18)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [[rng.choice(words) for _ in range(rng.choice((20, 45, 60, 90)))] for _ in range(12)]
+    rows = []
+    for i in range(80):
+        own = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            at = rng.randint(0, len(own))
+            own = own[:at] + p + own[at:]
+        rows.append((i, " ".join(own)))
+    rows += [(80, "a short text"), (81, "a short text"), (82, rows[3][1])]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    runs, before = set(), []
+    for i, text in rows:
+        w, left = text.split(), got[i]["text"].split()
+        may = {k + x for k in range(len(w) - 24) if tuple(w[k : k + 25]) in runs for x in range(25)}
+        assert len(left) >= len(w) - len(may) and (may or left == w)
+        for p in map(" ".join, passages):
+            if p.count(" ") >= 39 and p in text and any(p in t for t in before):
+                assert p not in got[i]["text"] and not any(" ".join(left[k : k + 25]) in p for k in range(len(left) - 24))
+        runs |= {tuple(w[k : k + 25]) for k in range(len(w) - 24)}
+        before.append(text)
+    assert got[81]["text"] == "a short text" and (got[82]["text"] == "" or len(rows[3][1].split()) < 25)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, "a", 1, "x"), (2, text, "b", 2, "y")], "doc_id long, text string, sources string, __id int, lines_removed string")
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "lines_removed_", "sources_"]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, text, "a", 1, "x", 0, []), (2, "", "b", 2, "y", 1, [1])]
 
 
 def test_line_dedup_of_odd_rows(odd, empty):
@@ -637,6 +757,30 @@ def test_pipeline_stage_by_stage(spark):
     assert last == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in kept.items()}
 
 
+def test_one_of_each_group_stays(spark):
+    """Rows that share an id but not a text are two documents; the row that stays doesn't depend on the partitions."""
+    from pyspark.sql import functions as F
+
+    same = "the very same words in each of these rows here"
+    rows = [(1, "one text about rivers and the bridges over them", "a", {"k": 1}), (1, "quite another text on mountains, snow and goats", "b", None), (5, same, "c", None), (3, same, "d", None), (3, same, "e", None), (3, same, "e", None), (None, same, "f", None), (None, "a lone text that has no id at all to go by", "g", None), (None, "a lone text that has no id at all to go by", "g", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key_1 string, m map<string,int>")
+    got = [sorted((r["doc_id"] or 0, r["text"], r["row_key_1"]) for r in simhash.one_of_each(x).collect()) for x in (df, df.repartition(7, F.col("row_key_1")), df.coalesce(1))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 4
+    assert [x[0] for x in got[0]] == [0, 1, 1, 3] and simhash.one_of_each(df).columns == df.columns
+    assert simhash.one_of_each(df.where("false")).collect() == []
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, docs):
+    import corpus_pipeline as pipeline
+    from pyspark.sql import functions as F
+
+    more = docs.limit(40).withColumns({"sources": F.lit("s"), "__id": F.lit(1), "lines_removed": F.lit("l"), "row_key_1": F.lit(2.5)})
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, more, SF)
+        assert out.dtypes == more.dtypes
+        assert out.where("sources <> 's' OR __id <> 1 OR lines_removed <> 'l' OR row_key_1 <> 2.5").count() == 0
+
+
 def test_pipeline_on_odd_rows(spark, odd, tmp_path):
     import corpus_pipeline as pipeline
 
