@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, decontaminate, linededup, simhash, toxicity
-from lakeloom.llm.common import table
+from lakeloom.llm.common import forget, fresh, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +22,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete passages that an earlier document has; a document that loses all its words goes. n_chars follows the text."""
-    out = linededup.dedup_lines(docs)
-    changed = F.col("lines_removed") > 0
-    out = out.where(~(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")) | F.col("text").isNull())
-    return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    names = fresh(docs, "lines_removed"), fresh(docs, "held_by")
+    out = linededup.dedup_lines(docs, names=names)
+    changed = F.col(names[0]) > 0
+    out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]") | F.col("text").isNull())
+    return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near duplicates, once; rows without an id can't be named as copies and stay."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Keep one row of each group of near duplicates: that with the smallest id."""
+    return simhash.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, table(stage(spark, docs, sf_dir))
+        if number:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
