@@ -71,48 +71,59 @@ def winnowed(keys: np.ndarray) -> np.ndarray:
     return np.unique(low)
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Flags of the words of b, the later document, in blocks aligned with a. a: its word_runs; b: its word hashes."""
+class Lines:
+    """The line hashes of an earlier document, in order of the hash: each with its first place and its number."""
+
+    def __init__(self, runs: np.ndarray):
+        self.runs = runs
+        self.known, self.first, self.number = np.unique(runs, return_index=True, return_counts=True)
+
+
+def common_words(a: Lines, b: np.ndarray) -> np.ndarray:
+    """Flags of the words of b, the hashes of the later document's words, in blocks aligned with a."""
     runs = word_runs(b)
-    left = np.isin(runs, a)
-    taken = np.zeros(len(runs), bool)
-    mine = np.flatnonzero(np.isin(a, runs)) if left.any() else left
+    if not len(a.known) or not len(runs):
+        return np.zeros(len(b), bool)
+    at = np.minimum(np.searchsorted(a.known, runs), len(a.known) - 1)
+    starts = left = np.flatnonzero(a.known[at] == runs)
+    aligned = np.zeros(len(a.known), bool)
     for _ in range(ROUNDS):
-        if not left.any():
+        if not len(left):
             break
-        aligned = _rising(_anchors(a, mine, runs, np.flatnonzero(left)))
-        now = left & np.isin(runs, runs[[j for _, j in aligned]])  # with the repetitions
-        taken |= now
-        left &= ~now
-    starts = np.flatnonzero(taken | left)
-    return _cover(starts, starts + BLOCK_WORDS, len(b))
-
-
-def _anchors(a: np.ndarray, mine: np.ndarray, b: np.ndarray, yours: np.ndarray) -> list[tuple[int, int]]:
-    """Positions of equal values, by position in b: of those that occur once on both sides, or, if there are none, the first occurrence of each with the first, the second with the second, and so on."""
-    (x, i, n), (y, j, m) = (np.unique(v[at], return_index=True, return_counts=True) for v, at in ((a, mine), (b, yours)))
-    _, p, q = np.intersect1d(x[n == 1], y[m == 1], assume_unique=True, return_indices=True)
-    if len(p):
-        pairs = np.column_stack((mine[i[n == 1][p]], yours[j[m == 1][q]]))
-        return list(map(tuple, pairs[np.argsort(pairs[:, 1])].tolist()))
-    places: dict = {}
-    for k in mine.tolist():
-        places.setdefault(a[k], []).append(k)
-    seen: dict = {}
+        anchors = _anchors(a, at, left)
+        if (np.diff(anchors[:, 0]) <= 0).any():
+            anchors = anchors[_rising(anchors[:, 0].tolist())]
+        aligned[at[anchors[:, 1]]] = True
+        left = left[~aligned[at[left]]]  # repetitions of what is aligned go with it
+    gone = np.concatenate((starts[aligned[at[starts]]], left))
+    return _cover(gone, gone + BLOCK_WORDS, len(b))
+
+
+def _anchors(a: Lines, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """(place in a, place in b) of equal lines, by place in b: of those that occur once on both sides, or, if there are none, the first occurrence of each with the first, the second with the second, and so on. at: which of a's lines each line of b is; left: the places of b."""
+    line, place, number = np.unique(at[left], return_index=True, return_counts=True)
+    once = (number == 1) & (a.number[line] == 1)
+    if once.any():
+        pairs = np.column_stack((a.first[line[once]], left[place[once]]))
+        return pairs[np.argsort(pairs[:, 1])]
+    places: dict[int, list[int]] = {}
+    for k, x in enumerate(a.runs.tolist()):
+        places.setdefault(x, []).append(k)
+    seen: dict[int, int] = {}
     out = []
-    for k in yours.tolist():
-        nth = seen[b[k]] = seen.get(b[k], -1) + 1
-        if nth < len(places[b[k]]):
-            out.append((places[b[k]][nth], k))
-    return out
+    for k, x in zip(left.tolist(), a.known[at[left]].tolist()):
+        nth = seen[x] = seen.get(x, -1) + 1
+        if nth < len(places[x]):
+            out.append((places[x][nth], k))
+    return np.array(out)
 
 
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A longest subsequence that rises in the first member, by patience sorting."""
+def _rising(places: list[int]) -> list[int]:
+    """Where the members of a longest rising subsequence stand, by patience sorting."""
     tops: list[int] = []
     piles: list[int] = []
-    back = [-1] * len(pairs)
-    for k, (x, _) in enumerate(pairs):
+    back = [-1] * len(places)
+    for k, x in enumerate(places):
         at = bisect_left(tops, x)
         if at == len(tops):
             tops.append(x)
@@ -122,7 +133,7 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         back[k] = piles[at - 1] if at else -1
     out, k = [], piles[-1] if piles else -1
     while k >= 0:
-        out.append(pairs[k])
+        out.append(k)
         k = back[k]
     return out[::-1]
 
@@ -180,7 +191,7 @@ def deletions(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             ended, spans = [], []
             for earlier, text in zip(as_bytes(b, "earlier"), as_bytes(b, "text")):
                 if known is None or earlier != last:
-                    last, known = earlier, word_runs(word_hashes(earlier)[0])
+                    last, known = earlier, Lines(word_runs(word_hashes(earlier)[0]))
                 h, ends = word_hashes(text)
                 ended.append(ends.astype(np.int32))
                 spans.append([{"start": x, "stop": y} for x, y in _ranges(common_words(known, h))])

@@ -604,15 +604,22 @@ def test_leaks_of_odd_rows(spark, odd, empty):
 def test_patience_anchors_rise():
     rng = random.Random(10)
     for _ in range(200):
-        a = np.array([rng.randint(0, 30) for _ in range(rng.randint(1, 25))], np.int64)
-        b = a.copy() if rng.random() < 0.3 else np.array([rng.choice(a.tolist()) if rng.random() < 0.6 else rng.randint(31, 60) for _ in range(20)], np.int64)
-        mine, yours = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
-        anchors = linededup._anchors(a, mine, b, yours)
-        pairs = linededup._rising(anchors)
-        assert all(a[i] == b[j] for i, j in anchors) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
-        assert bool(pairs) == bool(len(yours))
-        once = [x for x in a[mine] if (a == x).sum() == (b == x).sum() == 1]
-        assert not once or sorted(once) == sorted(a[i] for i, _ in anchors)
+        a = [rng.randint(0, 30) for _ in range(rng.randint(1, 25))]
+        b = a[:] if rng.random() < 0.3 else [rng.choice(a) if rng.random() < 0.6 else rng.randint(31, 60) for _ in range(20)]
+        held = linededup.Lines(np.array(a))
+        at = np.minimum(np.searchsorted(held.known, b), len(held.known) - 1)
+        left = np.flatnonzero(held.known[at] == b)
+        if len(left):
+            anchors = linededup._anchors(held, at, left)
+            assert all(a[i] == b[j] for i, j in anchors) and (np.diff(anchors[:, 1]) > 0).all()
+            once = [x for x in set(a) if a.count(x) == b.count(x) == 1]
+            assert not once or sorted(once) == sorted(a[i] for i, _ in anchors)
+            x = anchors[:, 0]
+            rising = linededup._rising(x.tolist())
+            best = [1] * len(x)
+            for k in range(len(x)):
+                best[k] += max((best[m] for m in range(k) if x[m] < x[k]), default=0)
+            assert (np.diff(x[rising]) > 0).all() and len(rising) == max(best)
 
 
 @pytest.mark.parametrize("rounds", [32, 1])
@@ -632,14 +639,14 @@ def test_aligned_blocks_equal_brute_force(monkeypatch, rounds):
         x, y = (linededup.word_hashes(" ".join(map(str, t)).encode())[0] for t in (a, b))
         runs = {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
         want = {j + k for j in range(len(b) - 4) if tuple(b[j : j + 5]) in runs for k in range(5)}
-        assert set(np.flatnonzero(linededup.common_words(linededup.word_runs(x), y)).tolist()) == want
+        assert set(np.flatnonzero(linededup.common_words(linededup.Lines(linededup.word_runs(x)), y)).tolist()) == want
         hits += len(want) > 0
     assert hits > 100
 
 
 def test_long_periodic_texts_are_aligned_at_once():
     a, b = (linededup.word_hashes(b"ab cd " * n)[0] for n in (20, 30_000))
-    assert linededup.common_words(linededup.word_runs(a), b).all() and linededup.common_words(linededup.word_runs(b), a).all()
+    assert linededup.common_words(linededup.Lines(linededup.word_runs(a)), b).all() and linededup.common_words(linededup.Lines(linededup.word_runs(b)), a).all()
 
 
 def test_repeated_passages_are_cut(spark):
@@ -676,7 +683,7 @@ def test_passages_inside_a_line_go_to_the_last_word():
         b = b" ".join(left + passage + right)
         x, y = (linededup.word_runs(linededup.word_hashes(t)[0]) for t in (a, b))
         assert np.intersect1d(linededup.winnowed(x), linededup.winnowed(y)).size
-        gone = linededup.common_words(x, linededup.word_hashes(b)[0])
+        gone = linededup.common_words(linededup.Lines(x), linededup.word_hashes(b)[0])
         edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).tolist()
         assert edges == [len(left), len(left) + len(passage)] and linededup.cut_words(b, [edges]).split() == left + right
 
