@@ -116,3 +116,21 @@ def status_of(value: Column, warn: float, bad: float) -> Column:
 def bump_key(key: Column, kind: str) -> Column:
     """A partition key's type: string, int, float, datetime or date."""
     return key.cast({"string": "string", "int": "bigint", "float": "double", "datetime": "timestamp", "date": "date"}[kind])
+
+
+def is_published(status: Column) -> Column:
+    return F.coalesce(status == "published", F.lit(False))
+
+
+def is_reply(parent: Column) -> Column:
+    return parent.isNotNull()
+
+
+def from_epoch(seconds: Column) -> Column:
+    """A point in time from seconds since 1970, whole or not, in UTC."""
+    return F.timestamp_micros((seconds.cast("decimal(20,6)") * 1_000_000).cast("bigint"))
+
+
+def string_map(document: Column) -> Column:
+    """A JSON object as map<string,string>."""
+    return F.from_json(document, "map<string,string>")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lakeloom.functions.columns import title_case, whole_number, words
 
@@ -29,14 +33,57 @@ def activity_by_user(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce(F.col("user_id").cast("string"), F.lit("unknown")).alias("user_id")).agg(F.count("*").alias("n"))
 
 
+#: Keys that a map task holds before it passes their accumulators on.
+HELD_KEYS = 200_000
+
+
 def map_reduce(df: DataFrame, mapper: Callable[[Any], Iterable[tuple]], create: Callable, merge: Callable, combine: Callable, reducer: Callable[[Any, Any], Any], schema: str) -> DataFrame:
     """Opaque functions as a job: row -> (key, value) pairs, a mergeable accumulator a key, then (key, accumulator) -> result.
 
-    The accumulator is combined before the shuffle. Only jobs without a column expression need this.
+    Accumulators are combined before the shuffle, so a hot key sends one from each task;
+    after it they come sorted by key and are combined as they stream by. Only jobs without
+    a column expression need this.
     """
-    pairs = df.rdd.flatMap(mapper)
-    done = pairs.combineByKey(create, merge, combine).map(lambda kv: (kv[0], reducer(*kv)))
-    return df.sparkSession.createDataFrame(done, schema)
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def mapped(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(map(pickle.dumps, x)), pa.binary()) for x in (held.keys(), held.values())], ["key", "held"])
+
+        for b in rows:
+            for row in b.to_pylist():
+                for key, value in mapper(Row(**row)):
+                    held[key] = merge(held[key], value) if key in held else create(value)
+            if len(held) > HELD_KEYS:
+                yield passed()
+                held.clear()
+        yield passed()
+
+    def reduced(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        out: list = []
+        for b in rows:
+            for key, value in zip(b.column(0).to_pylist(), map(pickle.loads, b.column(1).to_pylist())):
+                if key == last:
+                    held = combine(held, value)
+                    continue
+                if last is not None:
+                    out.append((pickle.loads(last), held))
+                last, held = key, value
+            if out:
+                yield results(out)
+                out = []
+        if last is not None:
+            yield results([(pickle.loads(last), held)])
+
+    def results(pairs: list) -> pa.RecordBatch:
+        said = [(k, reducer(k, x)) for k, x in pairs]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*said), kind)], schema=kind)
+
+    pairs = df.mapInArrow(mapped, "key binary, held binary")
+    return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(reduced, schema)
 
 
 def clean_users(df: DataFrame) -> DataFrame:
@@ -57,3 +104,8 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def sorted_partitions(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key and sorted within each part, as reducers see them."""
+    return df.repartition(key).sortWithinPartitions(key)

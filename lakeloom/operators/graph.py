@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.sources.tables import shared_folder
+
 
 def keep(df: DataFrame) -> DataFrame:
     """Cut lineage between rounds: a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="lakeloom-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -96,11 +93,11 @@ def hops(edges: DataFrame, a: int, limit: int = 6) -> DataFrame:
     return seen
 
 
-def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable. Smallest label of the neighbours, then of the label itself, until nothing changes."""
     e = keep(both_ways(edges))
     labels = keep(e.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = e.join(labels, e.dst == labels.id).groupBy("src").agg(F.min("component").alias("near"))
         new = labels.join(near, labels.id == near.src).select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
@@ -264,3 +261,31 @@ def betweenness(edges: DataFrame, sources: list[int] | None = None, parts: int =
 
     out = wanted.groupBy("part").cogroup(sized.groupBy("part")).applyInPandas(brandes, "id long, dependency double")
     return out.groupBy("id").agg(F.sum("dependency").alias("betweenness"))
+
+
+def create_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """nodes with new ones; an id that is there already is left as it is."""
+    return nodes.unionByName(rows.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def create_relations(edges: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with new ones; a relation whose source or target is missing makes none."""
+    ends = nodes.select("id").distinct()
+    both = rows.join(ends, rows.src == ends.id, "left_semi").join(ends, rows.dst == ends.id, "left_semi")
+    return edges.unionByName(both, allowMissingColumns=True)
+
+
+def shortest_path(edges: DataFrame, a: int, b: int, limit: int = 6) -> DataFrame:
+    """(step, id): the nodes of a shortest undirected path from a to b, of several the one whose nodes are smallest seen from b; no rows beyond the limit."""
+    e = keep(both_ways(edges))
+    found = keep(hops(edges, a, limit))
+    walk = found.where(F.col("id") == F.lit(b)).select(F.col("hops").alias("step"), "id")
+    out = step = keep(walk)
+    for _ in range(limit):
+        before = step.select(F.col("id").alias("src"), "step").join(e, "src").select(F.col("dst").alias("id"), (F.col("step") - 1).alias("step"))
+        step = before.join(found.select("id", F.col("hops").alias("step")), ["id", "step"]).groupBy("step").agg(F.min("id").alias("id"))
+        step = keep(step)
+        if step.isEmpty():
+            break
+        out = out.unionAll(step.select("step", "id"))
+    return out

@@ -65,3 +65,27 @@ def bloom_contains(probe: DataFrame, column: str, positions: DataFrame, bits: in
     asked = probe.select(column).distinct().select(column, F.explode(bloom_positions(F.col(column), bits, hashes)).alias("position"))
     hit = asked.join(positions.withColumn("set", F.lit(1)), "position", "left").groupBy(column).agg((F.count("set") == F.count("*")).alias("maybe"))
     return probe.join(hit, column)
+
+
+def clear(log: DataFrame) -> DataFrame:
+    """An empty store of the same columns."""
+    return log.where(F.lit(False))
+
+
+def lookup(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The live value of each asked key, null if it has none."""
+    return keys.select("key").join(latest(log).select("key", "value"), "key", "left")
+
+
+def select_files(files: DataFrame, most: int = 4) -> DataFrame:
+    """The files of the lowest level that is due for compaction. files: file, size."""
+    level = F.when(F.col("size") <= 0, 0).otherwise(F.log2(F.greatest("size", F.lit(1)) / F.lit(1024.0)).cast("int"))
+    due = compaction_plan(files, most).agg(F.min("level").alias("due"))  # one row
+    return files.withColumn("level", level).crossJoin(F.broadcast(due)).where("level = due").drop("due")
+
+
+def stats(files: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """Runs, their bytes, and the mean false-positive rate of their filters. files: size, keys."""
+    from lakeloom.functions.columns import bloom_false_positive_rate
+
+    return files.agg(F.count("*").alias("runs"), F.sum("size").alias("bytes"), F.avg(bloom_false_positive_rate(F.col("keys"), bits, hashes)).alias("mean_fpr"))

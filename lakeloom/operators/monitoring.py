@@ -53,3 +53,36 @@ def exposition(df: DataFrame) -> DataFrame:
     latest = df.groupBy("metric_name").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
     name = F.col("metric_name")
     return latest.select(F.explode(F.array(F.concat(F.lit("# HELP "), name, F.lit(" "), name), F.concat(F.lit("# TYPE "), name, F.lit(" gauge")), F.concat(name, F.lit(" "), F.col("v").cast("string")))).alias("line"))
+
+
+def catalogue(rows: DataFrame) -> DataFrame:
+    """Registered metrics: (name, type, description, unit), the first registration of a name stays. rows also has seq."""
+    return rows.groupBy("name").agg(F.min_by(F.struct("type", "description", "unit"), "seq").alias("m")).select("name", "m.*")
+
+
+def record(points: DataFrame, known: DataFrame, kind: str) -> DataFrame:
+    """The points of metrics registered under that type; others are ignored."""
+    return points.join(F.broadcast(known.where(F.col("type") == kind).select(F.col("name").alias("metric_name"))), "metric_name", "left_semi")
+
+
+def histogram(df: DataFrame, lo: float, hi: float, buckets: int) -> DataFrame:
+    """Points of each metric by equal buckets of [lo, hi); 0 lies below and buckets + 1 above."""
+    return df.groupBy("metric_name", F.expr(f"width_bucket(value, {float(lo)}D, {float(hi)}D, {int(buckets)})").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def selected(df: DataFrame, names: list[str], n: int = 1000) -> DataFrame:
+    """statistics() of the named metrics; unknown names give no row."""
+    return statistics(df.where(F.col("metric_name").isin(names)), n)
+
+
+def period(df: DataFrame, start, end) -> DataFrame:
+    """The points of [start, end] of each metric, in order of time."""
+    held = df.where(F.col("ts").between(F.lit(start), F.lit(end)))
+    return held.groupBy("metric_name").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("points"))
+
+
+def dashboard(df: DataFrame, hours: int = 1) -> DataFrame:
+    """The latest value of each metric, and how many points, and what mean, it had in the last hours before the newest point of all."""
+    newest = df.agg(F.max("ts").alias("newest"))  # one row
+    near = F.col("ts") >= F.col("newest") - F.make_dt_interval(hours=F.lit(hours))
+    return df.crossJoin(F.broadcast(newest)).groupBy("metric_name").agg(F.max_by("value", F.struct("ts", "event_id")).alias("latest"), F.count_if(near).alias("points"), F.avg(F.when(near, F.col("value"))).alias("mean"))

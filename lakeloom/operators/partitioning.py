@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,45 +41,71 @@ def ring(nodes: list[str], virtual: int = 256) -> list[tuple[int, str]]:
 def by_ring(df: DataFrame, key: Column, nodes: list[str], virtual: int = 256) -> DataFrame:
     """Node of the first ring position strictly above the key's, wrapping round. The ring is a literal: nodes x virtual entries."""
     r = ring(nodes, virtual)
-    positions, names = [p for p, _ in r], [n for _, n in r]
+    positions, names = np.array([p for p, _ in r], np.int64), np.array([n for _, n in r], object)
 
     @F.pandas_udf("string")
-    def find(at):
-        return at.map(lambda p: None if p is None else names[bisect_right(positions, p) % len(names)])
+    def find(at: pd.Series) -> pd.Series:
+        known = at.notna().to_numpy()
+        out = np.full(len(at), None, object)
+        out[known] = names[np.searchsorted(positions, at[known].to_numpy(np.int64), side="right") % len(names)]
+        return pd.Series(out, dtype=object)
 
     return df.withColumn("node", find(md5_position(key)))
 
 
+def walks(r: list[tuple[int, str]], count: int) -> list[list[str]]:
+    """For each position of a ring the first `count` distinct nodes from there on, found once."""
+    names = [n for _, n in r]
+    out: list[list[str]] = []
+    for start in range(len(names)):
+        seen: list[str] = []
+        for i in range(len(names)):
+            node = names[(start + i) % len(names)]
+            if node not in seen:
+                seen.append(node)
+                if len(seen) == count:
+                    break
+        out.append(seen)
+    return out
+
+
 def replicas(df: DataFrame, key: Column, nodes: list[str], count: int = 3, virtual: int = 256) -> DataFrame:
     """The first `count` distinct nodes on the walk round the ring."""
     r = ring(nodes, virtual)
-    positions, names = [p for p, _ in r], [n for _, n in r]
+    positions, lists = np.array([p for p, _ in r], np.int64), np.empty(len(r), object)
+    lists[:] = walks(r, count)
 
     @F.pandas_udf("array<string>")
-    def walk(at):
-        def one(p):
-            out: list[str] = []
-            start = bisect_right(positions, p)
-            for i in range(len(names)):
-                node = names[(start + i) % len(names)]
-                if node not in out:
-                    out.append(node)
-                    if len(out) == count:
-                        break
-            return out
-
-        return at.map(one)
+    def walk(at: pd.Series) -> pd.Series:
+        known = at.notna().to_numpy()
+        out = np.full(len(at), None, object)
+        out[known] = lists[np.searchsorted(positions, at[known].to_numpy(np.int64), side="right") % len(lists)]
+        return pd.Series(out, dtype=object)
 
     return df.withColumn("nodes", walk(md5_position(key)))
 
 
 def ring_join(df: DataFrame, key: Column, ring_rows: DataFrame) -> DataFrame:
-    """The same as a forward as-of join for rings too large for a literal: (position, node) rows, bucketed by the high byte."""
-    first = ring_rows.agg(F.min_by("node", "position").alias("wrap"))
-    rows = ring_rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("ring"))  # one row: the ring
-    joined = df.withColumn("__at", md5_position(key)).crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(first))
-    above = F.filter("ring", lambda x: x["position"] > F.col("__at"))
-    return joined.withColumn("node", F.coalesce(F.get(above, F.lit(0))["node"], F.col("wrap"))).drop("ring", "wrap", "__at")
+    """by_ring for rings too large for a literal: (position, node) rows are cut into 256 arcs by the high byte, and each key meets its arc only.
+
+    An arc also holds the first position after it, so the next one above a key is always
+    there; the last arc goes on at the ring's beginning.
+    """
+    from functools import reduce
+
+    arcs, size = 256, 1 << 24
+    spare = [f"ring_{x}{'_' * sum(c.startswith('ring_') for c in df.columns)}" for x in ("at", "arc")]
+    held = ring_rows.select(F.col("position").cast("long").alias("position"), "node", F.floor(F.col("position") / size).cast("int").alias("arc"))
+    own = held.groupBy("arc").agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("own"), F.min_by("node", "position").alias("first"))
+    every = ring_rows.sparkSession.range(arcs).select(F.col("id").cast("int").alias("arc")).join(own, "arc", "left")
+    w = Window.orderBy("arc").rowsBetween(1, Window.unboundedFollowing)  # 256 rows
+    start = F.first("first", ignorenulls=True).over(Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    arcs_of = every.select(F.col("arc").alias(spare[1]), "own", F.coalesce(F.first("first", ignorenulls=True).over(w), start).alias("beyond"))
+    placed = df.withColumn(spare[0], md5_position(key)).withColumn(spare[1], F.floor(F.col(spare[0]) / size).cast("int"))
+    above = F.filter("own", lambda x: x["position"] > F.col(spare[0]))
+    joined = placed.join(arcs_of, spare[1], "left")
+    node = F.when(F.col(spare[0]).isNotNull(), F.coalesce(F.get(above, F.lit(0))["node"], F.col("beyond")))
+    return reduce(lambda d, c: d.drop(c), [*spare, "own", "beyond"], joined.withColumn("node", node))
 
 
 def distribution(df: DataFrame, by: str = "pid") -> DataFrame:
@@ -106,8 +133,10 @@ def hotspots(df: DataFrame, reads: int = 1000, writes: int = 500) -> DataFrame:
     return n.select("pid", "reads", "writes", F.explode(kinds).alias("kind"))
 
 
-def suggest_split(df: DataFrame, records: int = 10_000) -> DataFrame:
-    return distribution(df).where(F.col("records") > records)
+def suggest_split(df: DataFrame, records: int = 10_000, reads: int = 5_000) -> DataFrame:
+    """Partitions to be split, and why: too many records, or else too many reads. df has pid and op."""
+    n = df.groupBy("pid").agg(F.count("*").alias("records"), F.count_if(F.col("op") == "read").alias("reads"))
+    return n.withColumn("reason", F.when(F.col("records") > records, "records").when(F.col("reads") > reads, "reads")).where("reason IS NOT NULL")
 
 
 def suggest_scaling(counts: DataFrame) -> DataFrame:
@@ -125,3 +154,72 @@ def moves(df: DataFrame, key: Column, before: list[str], after: list[str], virtu
     """Rows whose node changes with the ring."""
     both = by_ring(by_ring(df, key, before, virtual).withColumnRenamed("node", "from_node"), key, after, virtual).withColumnRenamed("node", "to_node")
     return both.where("from_node <> to_node")
+
+
+def routing_stats(df: DataFrame, key: str) -> DataFrame:
+    """Distinct routed keys of each partition."""
+    return df.groupBy("pid").agg(F.countDistinct(key).alias("routes"))
+
+
+def on_node(df: DataFrame, nodes: list[str], by: str = "pid") -> DataFrame:
+    """The node of each partition: nodes[pid mod their number]."""
+    return df.withColumn("node", F.get(F.array(*map(F.lit, nodes)), (F.col(by) % len(nodes)).cast("int")))
+
+
+def node_stats(df: DataFrame, nodes: list[str]) -> DataFrame:
+    """Partitions, records, reads, writes and bytes of each node. df: pid, op, size."""
+    n = df.groupBy("pid").agg(F.count("*").alias("records"), F.count_if(F.col("op") == "read").alias("reads"), F.count_if(F.col("op") == "write").alias("writes"), F.sum("size").alias("storage"))
+    return on_node(n, nodes).groupBy("node").agg(F.count("*").alias("partitions"), *[F.sum(c).alias(c) for c in ("records", "reads", "writes", "storage")])
+
+
+def reassigned(df: DataFrame, before: list[str], after: list[str]) -> DataFrame:
+    """Partitions whose node changes with the list of nodes. df: pid."""
+    old = on_node(df.select("pid").distinct(), before).withColumnRenamed("node", "from_node")
+    return on_node(old, after).withColumnRenamed("node", "to_node").where("from_node <> to_node")
+
+
+def ring_stats(df: DataFrame, key: Column, nodes: list[str], virtual: int = 256) -> DataFrame:
+    """Virtual nodes and records of each physical node."""
+    virtuals: dict[str, int] = {}
+    for _, n in ring(nodes, virtual):
+        virtuals[n] = virtuals.get(n, 0) + 1
+    held = df.sparkSession.createDataFrame(sorted(virtuals.items()), "node string, virtual_nodes long")
+    return held.join(distribution(by_ring(df, key, nodes, virtual), "node"), "node", "left").na.fill(0)
+
+
+def scaling_advice(df: DataFrame, reads: int = 1000, writes: int = 500) -> DataFrame:
+    """(kind, pids): the partitions to scale for reads and those for writes."""
+    return hotspots(df, reads, writes).groupBy("kind").agg(F.array_sort(F.collect_set("pid")).alias("pids"))
+
+
+def split_range(splits: list, at) -> list:
+    """Split points with one more; the upper part of the range that held it is new. A point that is there already splits nothing."""
+    return sorted({*splits, at})
+
+
+def overlapping(splits: list, start, end) -> list[int]:
+    """The ranges that [start, end) meets: what a scan has to read."""
+    bounds = [None, *splits, None]
+    return [i for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if (lo is None or lo < end) and (hi is None or start < hi) and start < end]
+
+
+def routed(df: DataFrame, key: Column, partitions: int, nodes: list[str]) -> DataFrame:
+    """The partition and node that a request for each key goes to."""
+    return on_node(by_hash_mod(df, key, partitions), nodes)
+
+
+def replicated(df: DataFrame, key: Column, nodes: list[str], count: int = 3, virtual: int = 256) -> DataFrame:
+    """A row for each copy: node, and its place on the key's walk, 0 the one that is read first."""
+    return replicas(df, key, nodes, count, virtual).select(*df.columns, F.posexplode("nodes").alias("place", "node"))
+
+
+def read_replica(copies: DataFrame, key: str, value: str, down: list[str]) -> DataFrame:
+    """Each key's value from the first replica that answers."""
+    up = copies.where(~F.col("node").isin(down)) if down else copies
+    return up.groupBy(key).agg(F.min_by(F.struct("node", value), "place").alias("r")).select(key, "r.*")
+
+
+def audit(df: DataFrame, key: Column, before: list[str], after: list[str], virtual: int = 256) -> DataFrame:
+    """Records of each node before and after the nodes change."""
+    old, new = (distribution(by_ring(df, key, x, virtual), "node").withColumnRenamed("records", n) for x, n in ((before, "before"), (after, "after")))
+    return old.join(new, "node", "full").na.fill(0, ["before", "after"])

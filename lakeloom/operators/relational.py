@@ -70,3 +70,31 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, within_s: int, ts
     b = right.select(F.struct(*right.columns).alias("r"), F.col(key).alias("k2"), micros(ts).alias("t2")).withColumn("b0", F.floor(F.col("t2") / width))
     b = b.withColumn("b2", F.explode(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1)))
     return a.join(b, (F.col("k1") == F.col("k2")) & (F.col("b") == F.col("b2"))).where(F.abs(F.col("t1") - F.col("t2")) <= width).select("l", "r")
+
+
+def create(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """df with new documents; a key that is there already is left as it is."""
+    return df.unionByName(rows.join(df.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def count(df: DataFrame, wanted: dict) -> DataFrame:
+    """One row: how many rows equal the wanted values."""
+    for name, value in wanted.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df.agg(F.count("*").alias("n"))
+
+
+def last_n(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The last n rows of a log, in its order."""
+    return df.orderBy(F.desc(order)).limit(n).orderBy(order)
+
+
+def after(df: DataFrame, order: str, value, n: int = 100) -> DataFrame:
+    """The first n rows of a log after a position."""
+    return df.where(F.col(order) > F.lit(value)).orderBy(order).limit(n)
+
+
+def holding(df: DataFrame, column: str, wanted: list, every: bool = False) -> DataFrame:
+    """Rows whose array holds one, or every one, of the wanted values."""
+    held = [F.array_contains(column, w) for w in wanted]
+    return df.where(F.forall(F.array(*held), lambda x: x) if every else F.arrays_overlap(column, F.array(*map(F.lit, wanted))))

@@ -84,3 +84,10 @@ def journeys(acts: DataFrame) -> DataFrame:
 
 def availability(df: DataFrame, keys: list[str], threshold: float, value: str = "value") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(F.when(F.col(value) >= threshold, 1.0).otherwise(0.0)).alias("availability"))
+
+
+def recent_activity(df: DataFrame, seconds_back: int, action: str = "action", user: str = "user_id", ts: str = "ts") -> DataFrame:
+    """(action, n, users): actions and distinct users of the rows at most so many seconds older than the newest; a row with a null action counts all."""
+    newest = df.agg(F.max(ts).alias("__newest"))  # one row
+    near = df.crossJoin(F.broadcast(newest)).where(F.col(ts) >= F.col("__newest") - F.make_dt_interval(secs=F.lit(seconds_back)))
+    return near.rollup(action).agg(F.count("*").alias("n"), F.countDistinct(user).alias("users"))

@@ -103,3 +103,85 @@ def dominated(clocks: DataFrame) -> DataFrame:
     nodes = F.array_union(F.map_keys("clock"), F.map_keys("oc"))
     below = F.forall(nodes, lambda k: at(F.col("clock"), k) <= at(F.col("oc"), k)) & F.exists(nodes, lambda k: at(F.col("clock"), k) < at(F.col("oc"), k))
     return clocks.join(o, (F.col("key") == F.col("ok")) & (F.col("version") != F.col("ov"))).where(below).select("key", "version").distinct()
+
+
+def states(rows: DataFrame, state: str = "state") -> DataFrame:
+    """How many transactions, jobs or participants are in each state."""
+    return rows.groupBy(state).agg(F.count("*").alias("n"))
+
+
+def access_sets(ops: DataFrame) -> DataFrame:
+    """The read set and the write set of each transaction, sorted."""
+    collected = lambda kinds: F.array_sort(F.collect_set(F.when(F.col("type").isin(kinds), F.col("resource"))))
+    return ops.groupBy("tx").agg(collected(["read"]).alias("reads"), collected(["write", "delete"]).alias("writes"))
+
+
+def log_of(ops: DataFrame) -> DataFrame:
+    """The log of each transaction: BEGIN, its writes and deletes in order, COMMIT. (tx, n, entry, resource); n counts from 0."""
+    changed = ops.where("type <> 'read'").select("tx", F.row_number().over(Window.partitionBy("tx").orderBy("at")).alias("n"), F.upper("type").alias("entry"), "resource")
+    ends = ops.groupBy("tx").agg(F.count_if(F.col("type") != "read").alias("c"))
+    framed = ends.select("tx", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("BEGIN").alias("entry")), F.struct((F.col("c") + 1).cast("int").alias("n"), F.lit("COMMIT").alias("entry")))).alias("e")).select("tx", "e.n", "e.entry", F.lit(None).cast("bigint").alias("resource"))
+    return framed.unionByName(changed.withColumn("resource", F.col("resource").cast("bigint")))
+
+
+def grant_locks(requests: DataFrame) -> DataFrame:
+    """requests (tx, resource, kind, at) with `granted`, as if asked in order and never released.
+
+    The first request for a resource is granted. If its transaction asks for an exclusive
+    lock before anyone else shares the resource, the resource is its own: all it asks for is
+    granted, and nothing to others. Otherwise every shared lock is granted and no exclusive
+    one. So two aggregates a resource tell, without walking the queue.
+    """
+    first = requests.groupBy("resource").agg(F.min_by("tx", "at").alias("owner"))
+    known = requests.join(first, "resource")
+    mine = F.col("tx") == F.col("owner")
+    turns = known.groupBy("resource").agg(F.min(F.when(mine & (F.col("kind") == "exclusive"), F.col("at"))).alias("taken"), F.min(F.when(~mine & (F.col("kind") == "shared"), F.col("at"))).alias("shared"))
+    owned = F.col("taken").isNotNull() & (F.col("shared").isNull() | (F.col("taken") < F.col("shared")))
+    return known.join(turns, "resource").select(*requests.columns, F.when(owned, mine).otherwise(F.col("kind") == "shared").alias("granted"))
+
+
+def release(held: DataFrame, tx) -> DataFrame:
+    """The queue after a transaction lets go: its requests are gone, what was granted stays, the others are asked again in order. held: grant_locks()."""
+    rest = held.where(~F.col("tx").eqNullSafe(F.lit(tx)))
+    again = grant_locks(rest.select("tx", "resource", "kind", F.struct(~F.col("granted"), "at").alias("at")))
+    return again.select("tx", "resource", "kind", again["at"]["at"].alias("at"), "granted")
+
+
+def lock_info(held: DataFrame) -> DataFrame:
+    """Active locks and waiting requests of each resource."""
+    return held.groupBy("resource").agg(F.count_if("granted").alias("active"), F.count_if(~F.col("granted")).alias("waiting"))
+
+
+def prepare(ops: DataFrame, store: DataFrame) -> DataFrame:
+    """Each participant's vote on a transaction: no if it deletes what isn't there. ops: tx, type, resource; store: resource."""
+    there = store.select(F.col("resource").alias("r"), F.lit(True).alias("there")).distinct()
+    asked = ops.join(there, ops.resource == there.r, "left")
+    return asked.groupBy("tx").agg(F.bool_and((F.col("type") != "delete") | F.coalesce("there", F.lit(False))).alias("vote"))
+
+
+def with_checksum(log: DataFrame) -> DataFrame:
+    """A replication log with the md5 of each entry's position, key and value."""
+    return log.withColumn("checksum", F.md5(F.concat_ws("|", F.col("seq").cast("string"), "key", F.col("value").cast("decimal(20,2)").cast("string")).cast("binary")))
+
+
+def intact(log: DataFrame) -> DataFrame:
+    """The entries whose checksum is right; a replica applies no others."""
+    return with_checksum(log.withColumnRenamed("checksum", "said")).where("checksum = said").drop("said")
+
+
+def sync_acks(acks: DataFrame, least: int) -> DataFrame:
+    """Whether enough replicas have confirmed each entry. acks: seq, acked."""
+    return acks.groupBy("seq").agg(F.count_if("acked").alias("acks")).withColumn("durable", F.col("acks") >= least)
+
+
+def cluster_status(nodes: DataFrame) -> DataFrame:
+    """Secondaries, the healthy ones among them, and their mean lag. nodes: role, health, lag_ms."""
+    second = F.col("role") == "secondary"
+    return nodes.agg(F.count_if(second).alias("secondaries"), F.count_if(second & (F.col("health") == "HEALTHY")).alias("healthy"), F.coalesce(F.avg(F.when(second, F.col("lag_ms"))), F.lit(0.0)).alias("mean_lag_ms"))
+
+
+def failover(nodes: DataFrame) -> DataFrame:
+    """nodes after the primary is lost: the healthy secondary that has applied most, the first by name on a tie, is primary; the rest follow it. nodes: node, role, health, applied."""
+    best = nodes.where("role = 'secondary' AND health = 'HEALTHY'").agg(F.min(F.struct((-F.col("applied")).alias("a"), "node")).alias("b")).select(F.col("b.node").alias("chosen"))  # one row
+    left = nodes.where("role <> 'primary'").crossJoin(F.broadcast(best))
+    return left.select("node", F.when(F.col("node") == F.col("chosen"), "primary").otherwise("secondary").alias("role"), F.when(F.col("node") != F.col("chosen"), F.col("chosen")).alias("follows"))

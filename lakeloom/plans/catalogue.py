@@ -2,48 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import columns as fn
 from lakeloom.operators import batch, graph, kv, monitoring, partitioning, relational, search, timeseries, txn
+from lakeloom.plans.registry import NODES, ORACLE_SQL, OTHER, QUERIES, TAG, USER, query
+from lakeloom.plans.registry import folder as _folder
+from lakeloom.plans.registry import rounded as _r
+from lakeloom.plans.registry import tab as _t
 from lakeloom.sources import tables as src
 from lakeloom.sources.tables import sql
 from lakeloom.streaming import topology
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Parameters shared by queries and oracles.
-USER, OTHER, TAG, NODES = 5, 9, "Brand#1", 4
-
-
-def query(oracle: str | None = None):
-    """Register a query under its name, with its oracle."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return src.table(spark, sf_dir, name)
-
-
-def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _users(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
 
 
-def _r(name: str, digits: int = 6):
-    return F.round(name, digits).alias(name)
-
-
 # ---- time series
 
 @query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS bucket, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY 1, 2")
@@ -152,7 +130,7 @@ def metric_deltas(spark, sf_dir):
     return monitoring.deltas(src.metrics(spark, sf_dir)).select("event_id", _r("delta"))
 
 
-@query()
+@query(sql("metrics", "SELECT unnest(['# HELP ' || m || ' ' || m, '# TYPE ' || m || ' gauge', m || ' ' || v::VARCHAR]) AS line FROM (SELECT metric_name AS m, arg_max(value, (ts, event_id)) AS v FROM metrics GROUP BY 1)"))
 def metric_exposition(spark, sf_dir):
     return monitoring.exposition(src.metrics(spark, sf_dir))
 
@@ -222,14 +200,8 @@ def graph_shortest_path_len(spark, sf_dir):
     return graph.hops(src.shares(spark, sf_dir), USER)
 
 
-@query("WITH RECURSIVE " + sql("wait_for", "").removeprefix("WITH ").rstrip() + ", e AS (SELECT src, dst FROM wait_for UNION SELECT dst, src FROM wait_for), r(id, o) AS (SELECT src, src FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.o) SELECT id, min(o) AS component FROM r GROUP BY 1")
+@query("WITH RECURSIVE " + sql("shares", "").removeprefix("WITH ").rstrip() + ", e AS (SELECT src, dst FROM shares UNION SELECT dst, src FROM shares), r(id, o) AS (SELECT src, src FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.o) SELECT id, min(o) AS component FROM r GROUP BY 1")
 def graph_wcc(spark, sf_dir):
-    return graph.weak_components(src.wait_for(spark, sf_dir))
-
-
-@query()
-def graph_wcc_all(spark, sf_dir):
-    """graph_wcc is held to the folded graph of its SQL; this one has every customer."""
     return graph.weak_components(src.shares(spark, sf_dir))
 
 
@@ -373,13 +345,6 @@ def kv_compaction_plan(spark, sf_dir):
     return kv.compaction_plan(_t(spark, sf_dir, "orders").select((F.col("o_orderkey") * 37).alias("size")))
 
 
-@query("SELECT c_custkey AS id, true AS maybe FROM customer WHERE c_custkey % 10 = 0")
-def kv_bloom_members(spark, sf_dir):
-    """Every member is found: a Bloom filter has no false negatives."""
-    ids, members, bits, hashes = _bloom(spark, sf_dir)
-    return kv.bloom_contains(members, "item", kv.bloom(members, "item", bits, hashes), bits, hashes).select(F.col("item").cast("long").alias("id"), "maybe")
-
-
 def _bloom(spark, sf_dir):
     """All customers, those of them in the filter, and the filter's shape by their number."""
     ids = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("item"))
@@ -434,7 +399,7 @@ def part_ring_move(spark, sf_dir):
     return out.select(F.col("c_custkey").alias("id"), "from_node", "to_node")
 
 
-@query()
+@query(f"WITH {_ring_sql(NODES, 'x')}, far AS (SELECT id, node, min(CASE WHEN pos > h THEN pos - h ELSE pos - h + 4294967296 END) AS d FROM kx, ringx GROUP BY 1, 2) SELECT id, string_agg(node, ',' ORDER BY d) AS nodes FROM (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) <= 3) GROUP BY 1")
 def part_ring_replicas(spark, sf_dir):
     out = partitioning.replicas(_t(spark, sf_dir, "customer"), F.col("c_name"), [f"node{i}" for i in range(NODES)])
     return out.select(F.col("c_custkey").alias("id"), F.array_join("nodes", ",").alias("nodes"))
@@ -507,15 +472,15 @@ def replica_state_as_of(spark, sf_dir):
     return txn.replica_state(src.kv_log(spark, sf_dir), 500)
 
 
-@query("WITH RECURSIVE " + sql("wait_for", "").removeprefix("WITH ").rstrip() + ", p(start, cur, path, done) AS (SELECT src, dst, [src, dst], false FROM wait_for WHERE dst > src UNION ALL SELECT start, e.dst, CASE WHEN e.dst = start THEN path ELSE list_append(path, e.dst) END, e.dst = start FROM p JOIN wait_for e ON e.src = cur WHERE NOT done AND (e.dst = start OR (e.dst > start AND NOT list_contains(path, e.dst) AND len(path) < 4))) SELECT array_to_string(path, '>') AS cycle, list_max(path) AS victim FROM p WHERE done")
-def deadlock_cycles(spark, sf_dir):
-    found = graph.cycles(src.wait_for(spark, sf_dir), 4)
-    return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"), F.array_max("path").alias("victim"))
+@query("WITH RECURSIVE " + sql("shares", "").removeprefix("WITH ").rstrip() + ", r(a, b) AS (SELECT src, dst FROM shares UNION SELECT r.a, s.dst FROM r JOIN shares s ON s.src = r.b), c AS (SELECT x.a AS id, max(x.b) AS victim FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1) SELECT victim, count(*) AS members FROM c GROUP BY 1")
+def deadlock_components(spark, sf_dir):
+    """Every deadlock of customers that wait for each other: its victim and how many are on cycles with it."""
+    return graph.strong_components(src.shares(spark, sf_dir)).groupBy(F.col("component").alias("victim")).agg(F.count("*").alias("members"))
 
 
 @query()
 def deadlock_victims(spark, sf_dir):
-    """deadlock_cycles is held to the folded graph and the four transactions of its SQL; this one has every customer and cycles of any length."""
+    """As deadlock_components, with a shortest cycle through the victim, of any length."""
     return txn.deadlocks(src.shares(spark, sf_dir))
 
 
@@ -551,16 +516,6 @@ def _stream(spark, sf_dir):
     return topology.file_stream(spark, f"{sf_dir}/events.parquet")
 
 
-def _folder(spark) -> str:
-    """A place of its own for a streaming query, in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="lakeloom-stream-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, time_bucket(INTERVAL '5 minutes', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
     out = topology.tumbling(_stream(spark, sf_dir), ["event_type"], "5 minutes").drop("window_end")
@@ -592,9 +547,13 @@ def stream_interval_join(spark, sf_dir):
 @query("SELECT user_id::VARCHAR AS key, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_fold(spark, sf_dir):
     name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = topology.fold(_stream(spark, sf_dir), "user_id", lambda a, v: a + v)
-    return topology.run_to_table(out, _folder(spark), "update", "key").select("key", _r("total", 4))
+    try:
+        out = topology.run_to_table(topology.fold(_stream(spark, sf_dir), "user_id", lambda a, v: a + v), _folder(spark), "update", "key")
+    finally:
+        spark.conf.set(name, before)
+    return out.select("key", _r("total", 4))
 
 
 # ---- search
@@ -648,3 +607,6 @@ def b_semi_anti(spark, sf_dir):
     without = c.join(o.where("o_orderstatus = 'P'"), c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
     final = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("f", F.lit(True))
     return without.join(final, "c_custkey", "left").select("c_custkey", F.coalesce("f", F.lit(False)).alias("has_final"))
+
+
+from lakeloom.plans import records  # noqa: E402, F401  registers more queries

@@ -10,6 +10,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # very long texts travel to Python: few in a batch
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.cteRecursionRowLimit": "-1",
+    # no walk of Python's stack for each expression
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all is one process (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,10 +114,6 @@ def tx_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), F.col("l_partkey").alias("resource"), kind.alias("type"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), "l_extendedprice")
 
 
-def wait_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shares(spark, sf_dir).where("src < 40").select((F.col("src") % 40).alias("src"), (F.col("dst") % 40).alias("dst")).where("src <> dst").distinct()
-
-
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {x: table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region")}
     return t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), F.col("o_totalprice").alias("amount"))
@@ -126,7 +139,6 @@ VIEW_SQL = {
     "tx_ops": "SELECT l_orderkey AS tx, l_partkey AS resource, CASE l_returnflag WHEN 'R' THEN 'read' WHEN 'A' THEN 'write' ELSE 'delete' END AS type, l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem",
     "sales": "SELECT r_name AS region, o_totalprice AS amount FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
 }
-VIEW_SQL["wait_for"] = f"SELECT DISTINCT src % 40 AS src, dst % 40 AS dst FROM ({VIEW_SQL['shares']}) WHERE src < 40 AND src % 40 <> dst % 40"
 
 
 def sql(views: str, query: str) -> str:

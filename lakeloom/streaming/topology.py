@@ -40,12 +40,12 @@ class Topology:
         self._start(name, writer, mode)
 
     def consume(self, name: str, handlers: dict[str, Callable[[DataFrame], None]], kind: str = "event_type") -> None:
-        """Give each micro-batch's rows to the handler of their type; "*" takes the rest."""
+        """Give each micro-batch's rows to the handler of their type; "*" takes the rest, rows without a type among them."""
 
         def dispatch(batch: DataFrame, _: int) -> None:
             batch.persist()
             for wanted, handler in handlers.items():
-                handler(batch.where(~F.col(kind).isin([h for h in handlers if h != "*"])) if wanted == "*" else batch.where(F.col(kind) == wanted))
+                handler(batch.where(~F.coalesce(F.col(kind).isin([h for h in handlers if h != "*"]), F.lit(False))) if wanted == "*" else batch.where(F.col(kind) == wanted))
             batch.unpersist()
 
         self._start(name, self.streams[name].writeStream.foreachBatch(dispatch), "append")
@@ -70,6 +70,12 @@ class Topology:
         return out
 
 
+    def watermark(self, name: str) -> str | None:
+        """The event-time watermark that a query has reached, as its last progress tells."""
+        told = [p["eventTime"].get("watermark") for p in self.queries[name].recentProgress if p["eventTime"]]
+        return told[-1] if told else None
+
+
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files as a stream, ts as a timestamp."""
     schema = spark.read.parquet(path).schema
@@ -92,6 +98,16 @@ def user_action(users: DataFrame) -> DataFrame:
     return users.select(F.lit("user_action").alias("event_type"), F.col("user_id").cast("string").alias("partition_key"), "ts", F.to_json(F.struct("*")).alias("data"))
 
 
+def system_event(df: DataFrame, component: str) -> DataFrame:
+    """Envelopes of system events: keyed by the component."""
+    return df.select(F.lit("system_event").alias("event_type"), F.lit(component).alias("partition_key"), "ts", F.to_json(F.struct("*")).alias("data"))
+
+
+def opened(envelopes: DataFrame, schema: str) -> DataFrame:
+    """The data of envelopes, back from JSON."""
+    return envelopes.select("event_type", "partition_key", F.from_json("data", schema).alias("d")).select("event_type", "partition_key", "d.*")
+
+
 def with_partition(df: DataFrame, key: str, n: int = 16) -> DataFrame:
     """The partition of any key, numeric or not."""
     return df.withColumn("partition", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))

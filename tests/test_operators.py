@@ -233,7 +233,7 @@ def test_whole_graph_queries_have_every_customer(spark):
             low = min(label[a], label[b])
             changed |= label[a] != low or label[b] != low
             label[a] = label[b] = low
-    assert {r["id"]: r["component"] for r in QUERIES["graph_wcc_all"](spark, SF).collect()} == label
+    assert {r["id"]: r["component"] for r in QUERIES["graph_wcc"](spark, SF).collect()} == label
     assert {r["id"] for r in QUERIES["graph_betweenness"](spark, SF).collect()} == nodes and max(nodes) > 40
 
 
@@ -268,3 +268,75 @@ def test_bloom_probe_asks_every_customer(spark):
     filled = set().union(*map(places, members))
     got = {r["id"]: r["maybe"] for r in QUERIES["kv_bloom_probe"](spark, SF).collect()}
     assert got == {i: places(i) <= filled for i in ids} and len(got) > len(members) and not all(got.values())
+
+
+def test_locks_are_granted_in_order(spark):
+    """The closed form against a queue walked by hand."""
+    rng = random.Random(21)
+    rows = [(rng.randint(1, 4), r, rng.choice(["shared", "shared", "exclusive"]), i) for r in range(150) for i in range(rng.randint(1, 6))]
+    want = {}
+    for tx, resource, kind, at in sorted(rows, key=lambda x: (x[1], x[3])):
+        held = [(t, k) for (t, r, k, _), g in want.items() if g and r == resource]
+        want[tx, resource, kind, at] = all(t == tx or (k == kind == "shared") for t, k in held)
+    df = txn.grant_locks(spark.createDataFrame(rows, "tx long, resource long, kind string, at long"))
+    assert {tuple(r)[:4]: r["granted"] for r in df.collect()} == want
+    left = {tuple(r)[:4]: r["granted"] for r in txn.release(df, 1).collect()}
+    assert not any(k[0] == 1 for k in left) and len(left) == sum(r[0] != 1 for r in rows)
+    # what was granted and isn't the leaver's stays granted; each resource that has a request holds one
+    assert all(left[k] for k, g in want.items() if g and k[0] != 1)
+    assert {k[1] for k, g in left.items() if g} == {k[1] for k in left}
+
+
+def test_ring_in_a_table_equals_the_literal(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("key")).unionByName(spark.createDataFrame([(None,)], "key string"))
+    for nodes, virtual in ((["a"], 1), (["a", "b", "c"], 2), ([f"n{i}" for i in range(20)], 256)):
+        ring = spark.createDataFrame(partitioning.ring(nodes, virtual), "position long, node string")
+        a, b = ({r["key"]: r["node"] for r in d.collect()} for d in (partitioning.by_ring(df, F.col("key"), nodes, virtual), partitioning.ring_join(df, F.col("key"), ring)))
+        assert a == b and len(a) == 3001
+
+
+def test_map_reduce_by_hand(spark):
+    df = spark.createDataFrame([(i % 7, float(i)) for i in range(1000)] + [(3, float(i)) for i in range(5000)], "k long, v double").repartition(5)
+    out = batch.map_reduce(df, lambda r: [(str(r.k), r.v), ("all", r.v)], lambda v: (v, 1), lambda a, v: (a[0] + v, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda k, a: a[1], "key string, n long")
+    got = {r["key"]: r["n"] for r in out.collect()}
+    assert got["all"] == 6000 and got["3"] == 5143 and len(got) == 8
+    assert batch.map_reduce(df.where("false"), lambda r: [(str(r.k), 1)], lambda v: v, max, max, lambda k, a: a, "key string, n long").collect() == []
+
+
+def test_shortest_path_and_graph_writes(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 3), (1, 4), (4, 5), (8, 9)], "src long, dst long")
+    assert sorted(tuple(r) for r in graph.shortest_path(edges, 1, 5).collect()) == [(0, 1), (1, 4), (2, 5)]
+    assert graph.shortest_path(edges, 1, 9).collect() == [] and [tuple(r) for r in graph.shortest_path(edges, 2, 2).collect()] == [(0, 2)]
+    nodes = spark.createDataFrame([(1,), (2,)], "id long")
+    assert graph.create_relations(edges.limit(0), spark.createDataFrame([(1, 2), (1, 7), (7, 2)], "src long, dst long"), nodes).collect() == [(1, 2)]
+    assert sorted(r["id"] for r in graph.create_nodes(nodes, spark.createDataFrame([(2,), (3,), (3,)], "id long")).collect()) == [1, 2, 3]
+
+
+def test_ranges(spark):
+    assert partitioning.split_range([10, 20], 15) == [10, 15, 20] and partitioning.split_range([10], 10) == [10]
+    assert partitioning.overlapping([10, 20], 12, 20) == [1] and partitioning.overlapping([10, 20], 5, 21) == [0, 1, 2] and partitioning.overlapping([10], 4, 4) == []
+
+
+def test_rows_without_a_type_reach_the_last_handler(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, "b", 3.0)], "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/in")
+    t = topology.Topology(spark, f"{tmp_path}/checkpoint")
+    t.stream("s", topology.file_stream(spark, f"{tmp_path}/in"))
+    seen = {}
+    t.consume("s", {"a": lambda b: seen.setdefault("a", [r["event_id"] for r in b.collect()]), "*": lambda b: seen.setdefault("*", sorted(r["event_id"] for r in b.collect()))})
+    t.await_all()
+    assert seen == {"a": [1], "*": [2, 3]}
+
+
+def test_watermark_is_told(spark, tmp_path):
+    rows = [(i, "a", float(i), dt.datetime(2024, 1, 1, 0, i)) for i in range(30)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, ts timestamp").write.parquet(f"{tmp_path}/in")
+    t = topology.Topology(spark, f"{tmp_path}/checkpoint")
+    t.stream("s", topology.tumbling(topology.file_stream(spark, f"{tmp_path}/in"), ["event_type"], "5 minutes"))
+    t.publish("s", f"{tmp_path}/out")
+    t.await_all()
+    assert t.watermark("s") == "2024-01-01T00:28:50.000Z"
+
+
+def test_failover_takes_the_replica_that_has_most(spark):
+    nodes = spark.createDataFrame([("p", "primary", "FAILED", 9), ("a", "secondary", "HEALTHY", 5), ("b", "secondary", "HEALTHY", 7), ("c", "secondary", "FAILED", 8), ("d", "secondary", "HEALTHY", 7)], "node string, role string, health string, applied long")
+    assert {r["node"]: (r["role"], r["follows"]) for r in txn.failover(nodes).collect()} == {"a": ("secondary", "b"), "b": ("primary", None), "c": ("secondary", "b"), "d": ("secondary", "b")}
