@@ -1,24 +1,32 @@
 """K-d tree sharding: recursive splits at distributed weighted medians along the widest dimension.
 
 A node that is to give k shards splits into halves of k // 2 and k - k // 2 of them, at the
-point of its widest dimension where the bytes divide in that proportion. The point is found
-by histograms of BINS bins, made for all nodes of a level in one pass over a narrow table
-of points and refined where the median lies; only bins reach the driver. Rows are ordered
-by the dimension, then by the text's hash, then by the row's own hash, so any group of
-ties can be divided. Equal texts have equal dimensions and hash: a cut falls between such
-groups unless the group weighs more than the tolerance; then the cut goes through it.
+point of its widest dimension where the bytes divide in that proportion; leaves are single
+shards, of the target bytes each. One pass over a narrow table of points makes histograms of
+every dimension for all nodes of a level: they tell the nodes' weights and extents and, in
+the widest dimension, the bin that holds the median. Where that bin is heavier than the
+tolerance it is cut into finer bins by another pass. Only bins reach the driver, about
+2 * BINS a pass and dimension; the cuts go back as literals.
+
+Rows are ordered by the dimension, then by the text's hash, then by the row's own hash, so
+any group of ties can be divided. Equal texts have equal dimensions and hash: a cut falls
+between such groups unless the group weighs more than the tolerance; then the cut goes
+through it. Dimensions are therefore taken from the text by default: a dimension that
+differs among copies, such as their source, would part them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, table
 
-SHARDS, BINS = 40, 1024
+SHARDS = 40
+#: Bins of all nodes of a level together.
+BINS = 1 << 14
 #: A cut may miss its median by this share of a shard.
 TOLERANCE = 0.02
 #: Rows about a median that are looked at one by one.
@@ -39,6 +47,8 @@ class Node:
     weight: int = 0
     dim: int = 0
     cut: tuple = (0, 0, 0)
+    #: The extent of each dimension, as far as it is known.
+    box: list = field(default_factory=list)
 
 
 def _keys(dims: list[str], bounds: list[tuple[float, float]]) -> list[Column]:
@@ -56,13 +66,50 @@ def _dim_key(nodes: list[Node], dims: int) -> Column:
     return F.get(F.array(*[f"k{i}" for i in range(dims)]), _of([x.dim for x in nodes]))
 
 
+def _binned(rows: DataFrame, *keys: str) -> dict[tuple, list]:
+    """Bins (number, weight, rows, lowest, highest) by the keys, in order. rows: keys, low, width, value, size."""
+    found: dict[tuple, list] = {}
+    held = rows.groupBy(*keys, F.floor((F.col("value") - F.col("low")) / F.col("width")).cast("int").alias("bin"))
+    for r in held.agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("value").alias("a"), F.max("value").alias("b")).collect():  # at most BINS and a few for each node
+        found.setdefault(tuple(r[k] for k in keys), []).append((r["bin"], r["w"], r["n"], r["a"], r["b"]))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def _survey(points: DataFrame, nodes: list[Node], dims: int) -> dict[int, list]:
+    """Weight, extents and widest dimension of every node that is to be split; its bins along that dimension."""
+    busy = [x.shards > 1 for x in nodes]
+    bins = max(256, BINS // sum(busy))
+    low, width = [], []
+    for x in nodes:
+        for lo, hi in x.box:
+            low.append(int(lo))
+            width.append(int(max(1, -(-(hi - lo + 1) // bins))))
+    at = F.col("node") * dims + F.col("v.dim")
+    spread = points.where(_of(busy)).select("node", "size", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"k{i}").alias("value")) for i in range(dims)])).alias("v"))
+    rows = spread.select("node", "size", F.col("v.dim").alias("dim"), F.col("v.value").alias("value"), F.get(F.lit(low), at).alias("low"), F.get(F.lit(width), at).alias("width"))
+    found = _binned(rows, "node", "dim")
+    for i, x in enumerate(nodes):
+        if busy[i] and (i, 0) in found:
+            x.box = [(min(b[3] for b in found[i, d]), max(b[4] for b in found[i, d])) for d in range(dims)]
+            x.weight = sum(b[1] for b in found[i, 0])
+            x.dim = max(range(dims), key=lambda d: (x.box[d][1] - x.box[d][0], -d))
+    return {i: found[i, x.dim] for i, x in enumerate(nodes) if (i, 0) in found}
+
+
 def _refine(points: DataFrame, nodes: list[Node], dims: int, tolerance: float) -> None:
     """Set the cut of every node that is to be split, a histogram pass at a time, part after part of the key."""
-    at = {i: {"part": 0, "lo": 0, "hi": SPAN, "under": 0, "fixed": [], "rows": FEW + 1} for i, x in enumerate(nodes) if x.shards > 1}
-    while at:
+    at = {i: {"part": 0, "under": 0, "fixed": []} for i, x in enumerate(nodes) if x.shards > 1}
+    found = _survey(points, nodes, dims)
+    while True:
+        for i in list(at):
+            if _narrow(nodes[i], at[i], found.get(i, []), tolerance):
+                del at[i]
+        if not at:
+            return
         idle = {"part": -1, "lo": 0, "hi": -1, "fixed": []}
         states = [at.get(i, idle) for i in range(len(nodes))]
-        width = [max(1, -(-(s["hi"] - s["lo"] + 1) // BINS)) for s in states]
+        bins = max(256, BINS // len(at))
+        width = [max(1, -(-(s["hi"] - s["lo"] + 1) // bins)) for s in states]
         held = [[*s["fixed"], 0, 0][:2] for s in states]
         part, low, high = (_of([int(s[x]) for s in states]) for x in ("part", "lo", "hi"))
         key = F.col("key")
@@ -78,35 +125,36 @@ def _refine(points: DataFrame, nodes: list[Node], dims: int, tolerance: float) -
                 nodes[i].cut = _nearest(sorted(near[i]), _goal(nodes[i]) - at[i]["under"], tolerance, at[i])
                 del at[i]
         if not at:
+            return
+        rows = rows.where(F.col("node").isin(list(at))).select("node", "size", "value", low.alias("low"), _of([int(x) for x in width]).alias("width"))
+        found = {k[0]: v for k, v in _binned(rows, "node").items()}
+
+
+def _narrow(node: Node, s: dict, bins: list, tolerance: float) -> bool:
+    """Whether the bins settle a node's cut; if not, the state says where to look closer."""
+    goal, total, chosen = _goal(node), s["under"], None
+    for chosen in bins:
+        if total + chosen[1] > goal:
             break
-        rows = rows.where(F.col("node").isin(list(at))).select("node", F.floor((F.col("value") - low) / _of([int(x) for x in width])).cast("int").alias("bin"), "size")
-        found: dict[int, list] = {}
-        for r in rows.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect():  # at most BINS for each node
-            found.setdefault(r["node"], []).append((r["bin"], r["w"], r["n"]))
-        for i in list(at):
-            s, node = at[i], nodes[i]
-            goal, total, chosen = _goal(node), s["under"], (0, 0, 0)
-            for chosen in sorted(found.get(i, [])):
-                if total + chosen[1] > goal:
-                    break
-                total += chosen[1]
-            k, w, n = chosen
-            if total + w <= goal or not n:  # the last bin, and all of it comes before
-                total -= w
-            lo, hi = s["lo"] + k * width[i], min(s["hi"], s["lo"] + (k + 1) * width[i] - 1)
-            if goal - total <= tolerance:  # before this bin
-                node.cut = tuple([*s["fixed"], lo, 0, 0][:3])
-                del at[i]
-            elif abs(total + w - goal) <= tolerance:  # after it
-                node.cut = tuple([*s["fixed"], hi + 1, 0, 0][:3])
-                del at[i]
-            elif hi > lo:
-                s.update(lo=lo, hi=hi, under=total, rows=n)
-            elif s["part"] < 2:  # a group of ties: go on by the next part of the key
-                s.update(part=s["part"] + 1, lo=0, hi=SPAN, under=total, fixed=[*s["fixed"], lo], rows=n)
-            else:  # rows alike in every part: the nearer side
-                node.cut = tuple([*s["fixed"], lo if goal - total <= total + w - goal else lo + 1])
-                del at[i]
+        total += chosen[1]
+    if chosen is None:  # no rows
+        return True
+    _, w, n, lo, hi = chosen
+    if total + w <= goal or total == s["under"] + sum(b[1] for b in bins):  # the last bin, and all of it comes before
+        total -= w
+    if goal - total <= tolerance:  # before this bin
+        node.cut = tuple([*s["fixed"], lo, 0, 0][:3])
+    elif abs(total + w - goal) <= tolerance:  # after it
+        node.cut = tuple([*s["fixed"], hi + 1, 0, 0][:3])
+    elif hi > lo:
+        s.update(lo=lo, hi=hi, under=total, rows=n)
+        return False
+    elif s["part"] < 2:  # a group of ties: go on by the next part of the key
+        s.update(part=s["part"] + 1, lo=0, hi=SPAN, under=total, fixed=[*s["fixed"], lo], rows=n)
+        return False
+    else:  # rows alike in every part: the nearer side
+        node.cut = tuple([*s["fixed"], lo if goal - total <= total + w - goal else lo + 1])
+    return True
 
 
 def _goal(node: Node) -> float:
@@ -135,10 +183,13 @@ def _split(nodes: list[Node]) -> tuple[list[Node], Column]:
     for x in nodes:
         left.append(len(after))
         if x.shards == 1:
-            after.append(Node(x.first, 1))
+            after.append(Node(x.first, 1, box=x.box))
         else:
             half = x.shards // 2
-            after += [Node(x.first, half), Node(x.first + half, x.shards - half)]
+            after += [Node(x.first, half, box=list(x.box)), Node(x.first + half, x.shards - half, box=list(x.box))]
+            if x.box:
+                lo, hi = x.box[x.dim]
+                after[-2].box[x.dim], after[-1].box[x.dim] = (lo, max(lo, min(hi, x.cut[0]))), (min(hi, max(lo, x.cut[0])), hi)
         right.append(len(after) - 1)
     a, b, c = (_of([int(x.cut[i]) for x in nodes]) for i in range(3))
     key, text, row = F.col("key"), F.col("text_key"), F.col("row_key")
@@ -166,24 +217,22 @@ def kd_shards(df: DataFrame, shards: int = SHARDS, dims: list[str] | None = None
         key(F.xxhash64(F.col(doc_id), F.monotonically_increasing_id())).alias("row_key"),
         *[c.cast("double").alias(n) for n, c in named.items()],
     )
-    points = table(points)
+    stored = points = table(points)
     names = list(named)
     whole = points.agg(F.sum("size").alias("w"), F.count("*").alias("n"), *[f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.min, F.max)]).first()
     rows = whole["n"]
     bounds = [(whole[f"{n}_min"] or 0.0, whole[f"{n}_max"] or 0.0) for n in names]
     points = points.select("doc_id", "size", "text_crc32", "text_key", "row_key", F.lit(0).alias("node"), *[k.alias(f"k{i}") for i, k in enumerate(_keys(names, bounds))])
-    nodes = [Node(0, shards)]
+    nodes = [Node(0, shards, box=[(0, SPAN)] * len(names))]
     tolerance = TOLERANCE * (whole["w"] or 0) / shards
     while rows and any(x.shards > 1 for x in nodes):
-        spread = points.groupBy("node").agg(F.sum("size").alias("w"), *[(F.max(f"k{i}") - F.min(f"k{i}")).alias(f"s{i}") for i in range(len(names))])
-        for r in spread.collect():  # a row for each node
-            nodes[r["node"]].weight = r["w"]
-            nodes[r["node"]].dim = max(range(len(names)), key=lambda i: (r[f"s{i}"], -i))
         _refine(points, nodes, len(names), tolerance)
         after, where = _split(nodes)
-        points = table(points.withColumn("key", _dim_key(nodes, len(names))).withColumn("node", where).drop("key"))
-        nodes = after
-    return _slots(points.withColumnRenamed("node", "shard"), rows, shards)
+        # written: nested cuts would make the plan grow with the power of the level
+        before, points = stored, table(points.withColumn("key", _dim_key(nodes, len(names))).withColumn("node", where).drop("key"))
+        forget(before)
+        stored, nodes = points, after
+    return _slots(points.select("doc_id", "size", "text_crc32", "text_key", "row_key", F.col("node").alias("shard")), rows, shards)
 
 
 def _slots(placed: DataFrame, rows: int, shards: int) -> DataFrame:

@@ -732,14 +732,44 @@ def test_line_dedup_of_odd_rows(odd, empty):
 # ---- queries and pipeline
 
 
-def test_digest_queries(spark):
+def test_digests_equal_brute_force(spark, docs):
+    """The registered queries' own columns, from the texts."""
     from lakeloom.llm.queries import QUERIES
 
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1_kd_sharding", "op3_language", "op6_toxicity", "op8_secrets"):
-        assert QUERIES[name](spark, SF).count() == n
-    empty = hashlib.sha256(b"").hexdigest()
-    assert QUERIES["op8_secrets"](spark, SF).where(f"n_assign + n_access + n_hex = 0 AND base_sha256 <> '{empty}'").count() == 0
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = bpe.vocabulary()
+    public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {n: {r["doc_id"]: r for r in QUERIES[n](spark, SF).collect()} for n in QUERIES if n != "op9_decontaminate"}
+    assert all(set(x) == set(texts) for x in got.values())
+    fps = {k: brute_fingerprint(t) for k, t in texts.items()}
+    groups = brute_groups(list(texts), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    train = [x.encode().lower().split() for k, x in texts.items() if fold(k, 10)]
+    counts = {}
+    for x in train:
+        for w in x:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()) + len(train), len(counts) + 1
+    names = ("assign", "access", "hex")
+    for k, t in texts.items():
+        assert (got["op2_simhash"][k]["fingerprint"], got["op2_simhash"][k]["component_id"]) == (f"{fps[k]:016x}", groups[k])
+        r = got["op1_kd_sharding"][k]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t.encode()) + 16, zlib.crc32(t.encode()), "bytes", None)
+        r, base = got["op4_quality"][k], brute_base(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == base
+        assert r["base_failed"] == (base[0] < 20 or 100 * base[4] > 30 * base[0]) and not (r["base_failed"] and r["kept"])
+        ids = np.array(public.encode_ordinary(t), "<u4")
+        r = got["op5_bpe"][k]
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        r, words = got["op7_lattice"][k], t.encode().lower().split()
+        known = [counts.get(w, 0) for w in words] + [len(train)]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(known), sum(c > 0 for c in known), n, not fold(k, 10))
+        assert np.isclose(r["base_score"], sum(np.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in known))
+        r, spans = got["op8_secrets"][k], brute_spans(t)
+        assert [r[f"n_{x}"] for x in names] == [sum(s[1] == i for s in spans) for i in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{names[kind]}:{a}:{b}" for a, kind, b in spans).encode()).hexdigest()
+        assert got["op3_language"][k]["held_out"] == (not fold(k, 5)) and got["op6_toxicity"][k]["held_out"] == (fold(k, 3) == 1)
+        assert got["op6_toxicity"][k]["predicted"] == int(got["op6_toxicity"][k]["score"] >= 0.7)
 
 
 def test_pipeline_stage_by_stage(spark):
