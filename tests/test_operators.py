@@ -340,3 +340,19 @@ def test_watermark_is_told(spark, tmp_path):
 def test_failover_takes_the_replica_that_has_most(spark):
     nodes = spark.createDataFrame([("p", "primary", "FAILED", 9), ("a", "secondary", "HEALTHY", 5), ("b", "secondary", "HEALTHY", 7), ("c", "secondary", "FAILED", 8), ("d", "secondary", "HEALTHY", 7)], "node string, role string, health string, applied long")
     assert {r["node"]: (r["role"], r["follows"]) for r in txn.failover(nodes).collect()} == {"a": ("secondary", "b"), "b": ("primary", None), "c": ("secondary", "b"), "d": ("secondary", "b")}
+
+
+def test_communities_by_hand(spark):
+    rng = random.Random(22)
+    edges = [(rng.randint(0, 9) + 20 * (i % 2), rng.randint(0, 9) + 20 * (i % 2)) for i in range(60)] + [(3, 25)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    label = {v: v for v in near}
+    for _ in range(5):
+        votes = {v: [label[u] for u in near[v]] for v in near}
+        label = {v: min(x, key=lambda c: (-x.count(c), c)) for v, x in votes.items()}
+    want = {v: min(u for u in label if label[u] == c) for v, c in label.items()}
+    got = graph.communities(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r["id"]: r["community"] for r in got.collect()} == want
