@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators import ordered
+
 
 def last_points(df: DataFrame, n: int = 1000) -> DataFrame:
     """The newest n points of each metric."""
@@ -19,8 +21,9 @@ def statistics(df: DataFrame, n: int = 1000) -> DataFrame:
 
 def running_counter(df: DataFrame) -> DataFrame:
     """Counter totals: by name over all labels, and by name and label."""
-    by = lambda *keys: F.sum("value").over(Window.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return df.select("event_id", "metric_name", "k", by("metric_name").alias("total"), by("metric_name", "k").alias("label_total"))
+    df = df.select("event_id", "metric_name", "k", "ts", "value")
+    out = ordered.running_sum(df, ["metric_name"], ("ts", "event_id"), "value", "total")
+    return ordered.running_sum(out, ["metric_name", "k"], ("ts", "event_id"), "value", "label_total").drop("ts", "value")
 
 
 def error_rates(df: DataFrame) -> DataFrame:
@@ -44,8 +47,7 @@ def cumulative_users(df: DataFrame) -> DataFrame:
 
 def deltas(df: DataFrame) -> DataFrame:
     """A cumulative gauge as increments."""
-    w = Window.partitionBy("metric_name").orderBy("ts", "event_id")
-    return df.withColumn("delta", F.col("value") - F.lag("value").over(w))
+    return ordered.over_preceding(df, ["metric_name"], ("ts", "event_id"), 1, lambda w: {"delta": F.col("value") - F.lag("value").over(w)})
 
 
 def exposition(df: DataFrame) -> DataFrame:

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def lower_rank_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[int], order: str) -> DataFrame:
-    """For each group and p the value at rank min(floor(n p / 100), n - 1), no interpolation."""
-    w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value, order)) - 1).alias("rn"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("rn") == at(p), F.col("v"))).alias(f"p{p}") for p in ps])
+from lakeloom.operators import ordered
 
 
 def downsample(df: DataFrame, interval: str, keys: list[str], value: str = "value", ts: str = "ts", function: str = "avg") -> DataFrame:
@@ -33,7 +27,7 @@ def query(df: DataFrame, metric: str | None = None, start=None, end=None, interv
         df = df.where(F.col(name) == wanted)
     if function.startswith("p") and function[1:].isdigit():
         keyed = df.withColumn("bucket", F.window("ts", interval)["start"])
-        return lower_rank_percentiles(keyed, ["metric_name", *(group_by or []), "bucket"], "value", [int(function[1:])], "event_id")
+        return ordered.ranked_values(keyed, ["metric_name", *(group_by or []), "bucket"], "value", [int(function[1:])])
     return downsample(df, interval, ["metric_name", *(group_by or [])], function=function)
 
 
@@ -50,19 +44,23 @@ def seconds(later: str, earlier: str) -> Column:
 
 def anomalies(df: DataFrame, keys: list[str], window: int = 10, threshold: float = 2.0, order: tuple[str, ...] = ("ts", "event_id"), value: str = "value") -> DataFrame:
     """Rows further than threshold population deviations from the mean of the `window` rows before them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-window, -1)
-    out = df.select("*", F.avg(value).over(w).alias("mean"), F.stddev_pop(value).over(w).alias("dev"), F.count(value).over(w).alias("held"))
+    def before(w):
+        w = w.rowsBetween(-window, -1)
+        return {"mean": F.avg(value).over(w), "dev": F.stddev_pop(value).over(w), "held": F.count(value).over(w)}
+
+    out = ordered.over_preceding(df, keys, order, window, before)
     return out.where((F.col("held") == window) & (F.abs(F.col(value) - F.col("mean")) > threshold * F.col("dev"))).drop("held")
 
 
 def trailing(df: DataFrame, keys: list[str], length_s: int = 300, ts: str = "ts", value: str = "value") -> DataFrame:
     """Mean and rate over the rows newer than `length_s` before each row; the rate needs two rows and a span."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy("__us").rangeBetween(-(length_s * 1_000_000 - 1), 0)
-    out = df.withColumn("__us", micros)
-    span = (F.max("__us").over(w) - F.min("__us").over(w)) / F.lit(1e6)
-    n = F.count("*").over(w)
-    return out.select(*df.columns, F.avg(value).over(w).alias("current_avg"), F.when((n >= 2) & (span > 0), n / F.nullif(span, F.lit(0.0))).alias("current_rate"))
+
+    def near(w):
+        span = (F.max("__us").over(w) - F.min("__us").over(w)) / F.lit(1e6)
+        n = F.count("*").over(w)
+        return {"current_avg": F.avg(value).over(w), "current_rate": F.when((n >= 2) & (span > 0), n / F.nullif(span, F.lit(0.0)))}
+
+    return ordered.over_trailing(df, keys, ts, length_s, near)
 
 
 def bounce_rate(found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import columns as fn
-from lakeloom.operators import batch, graph, kv, monitoring, partitioning, relational, search, timeseries, txn
+from lakeloom.operators import batch, graph, kv, monitoring, ordered, partitioning, relational, search, timeseries, txn
 from lakeloom.plans.registry import NODES, ORACLE_SQL, OTHER, QUERIES, TAG, USER, query
 from lakeloom.plans.registry import folder as _folder
 from lakeloom.plans.registry import rounded as _r
@@ -38,7 +38,7 @@ def _lower_rank(keys: str, frm: str, value: str, order: str) -> str:
 @query(_lower_rank("event_type, bucket", "(SELECT *, time_bucket(INTERVAL '1 day', ts) AS bucket FROM events)", "value", "event_id"))
 def ts_downsample_percentile(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("bucket", fn.window_start(F.col("ts"), "1 day"))
-    return timeseries.lower_rank_percentiles(e, ["event_type", "bucket"], "value", [50, 95, 99], "event_id")
+    return ordered.ranked_values(e, ["event_type", "bucket"], "value", [50, 95, 99])
 
 
 @query(sql("metrics", "SELECT metric_name, k, time_bucket(INTERVAL '1 hour', ts) AS bucket, round(max(value), 6) AS value, count(*) AS n FROM metrics WHERE metric_name = 'purchase' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' GROUP BY ALL"))

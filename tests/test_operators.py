@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import columns as fn
-from lakeloom.operators import batch, graph, kv, partitioning, relational, timeseries, txn
+from lakeloom.operators import batch, graph, kv, ordered, partitioning, relational, timeseries, txn
 from lakeloom.streaming import topology
 
 SF = "/root/testdata/sf0.001"
@@ -56,7 +56,7 @@ def test_bloom(spark):
 
 def test_percentiles_take_the_lower_rank(spark):
     df = spark.createDataFrame([("a", float(i), i) for i in range(1, 11)], "g string, v double, id long")
-    assert timeseries.lower_rank_percentiles(df, ["g"], "v", [50, 95, 99], "id").first()[1:] == (6.0, 10.0, 10.0)
+    assert ordered.ranked_values(df, ["g"], "v", [50, 95, 99]).first()[1:] == (6.0, 10.0, 10.0)
 
 
 def test_constant_window_flags_any_change(spark):
