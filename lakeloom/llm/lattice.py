@@ -3,9 +3,11 @@
 The vocabulary and its scores exist: a published file's pieces, whose score is minus their
 rank, weigh a piece by Zipf's law. Under these weights every segmentation of the training
 words counts, in proportion to its probability (forward-backward over the lattice), and the
-expected counts give the pieces' log-probabilities. A word's probability is the sum over
-all its segmentations, by a forward recursion in log space; a text's is the product over
-its words and one end.
+expected counts give the pieces' log-probabilities. The sum over all segmentations of a
+word comes from a forward recursion in log space. A word of the training texts has one more
+arc, over the whole of it: its count less a discount, over all tokens; what the discounts
+leave is the weight of the pieces. A text's probability is the product over its words and
+one end.
 """
 
 from __future__ import annotations
@@ -89,6 +91,23 @@ def log_probability(word: str, pieces: Pieces) -> float:
     return alpha[-1]
 
 
+def discount(once: int, twice: int) -> float:
+    """What an arc over a whole word gives up: the share of words seen once that Ney's estimate takes, never 0 or 1."""
+    return (once + 1) / (once + 2 * twice + 2)
+
+
+def with_whole(logp: float, count: int, tokens: int, words: int, less: float) -> float:
+    """Natural log of the pieces' probability and the whole word's arc together; the pieces' alone if nothing was taught."""
+    if not tokens:
+        return logp
+    spelled = logp + math.log(less * words / tokens)
+    if count <= 0:
+        return spelled
+    whole = math.log((count - less) / tokens)
+    top = max(spelled, whole)
+    return top + math.log1p(math.exp(min(spelled, whole) - top))
+
+
 def expected(word: str, pieces: Pieces, count: float, into: dict[str, float]) -> None:
     """Add the expected number of each piece over the word's segmentations."""
     s = SPACE + word
@@ -220,7 +239,7 @@ def score(df: DataFrame, train, pieces_path: str, doc_id: str = "doc_id", text:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; train is a boolean column.
 
     base_score is the smoothed unigram score of the words, score the log10 probability of
-    the words' lattices and the end. A null or empty text is the end alone. Repeated rows
+    the words' lattices, arcs over whole training words included, and the end. A null or empty text is the end alone. Repeated rows
     give repeated rows; other columns are not read. The most frequent words are looked up
     where a text is read; rarer ones are joined by word, so the vocabulary may grow without
     bound, and each distinct word's lattice is run once. An empty training set leaves
@@ -229,8 +248,8 @@ def score(df: DataFrame, train, pieces_path: str, doc_id: str = "doc_id", text:
     spark = df.sparkSession
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), train.alias("train"))
     words = table(word_counts(rows.select("text", "train")))
-    total = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] or 0, total["v"] or 0
+    total = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    n, v, less = total["n"] or 0, total["v"] or 0, discount(total["once"], total["twice"])
     ends = words.where(F.col("word") == END_TOKEN).select("c").first()
     ends = ends["c"] if ends else 0
     pieces = spark.sparkContext.broadcast(fit_pieces(words, ends, pieces_path))
@@ -238,13 +257,13 @@ def score(df: DataFrame, train, pieces_path: str, doc_id: str = "doc_id", text:
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(parts):
-            p = [log_probability(w, pieces.value) / math.log(10) for w in column(b, "word").to_pylist()]
+            p = [with_whole(log_probability(w, pieces.value), c, n, v, less) / math.log(10) for w, c in zip(column(b, "word").to_pylist(), column(b, "c").to_pylist())]
             yield pa.RecordBatch.from_arrays([column(b, "word"), column(b, "c"), pa.array(p, pa.float64())], ["word", "c", "p"])
 
     scored = table(words.where(F.col("word") != END_TOKEN).mapInArrow(add, "word string, c long, p double"))
     frequent = scored.orderBy(F.desc("c"), "word").limit(head).toPandas()  # head rows
     known = spark.sparkContext.broadcast({w.encode("utf-8", "surrogatepass"): (int(c > 0), math.log10(c + ALPHA) - norm, p) for w, c, p in frequent.itertuples(index=False)})
-    end_known, end_base, end_p = int(ends > 0), math.log10(ends + ALPHA) - norm, pieces.value.end / math.log(10)
+    end_known, end_base, end_p = int(ends > 0), math.log10(ends + ALPHA) - norm, with_whole(pieces.value.end, ends, n, v, less) / math.log(10)
 
     def look_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of = known.value

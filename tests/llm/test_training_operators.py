@@ -407,7 +407,7 @@ def test_lattice_equals_enumeration(pieces):
 
 
 @pytest.mark.parametrize("head", [150_000, 50])
-def test_lattice_scores(docs, head):
+def test_lattice_scores(docs, pieces, head):
     small = docs.where("doc_id < 60")
     out = lattice.score(small, lattice.remainder("doc_id", 10) != 0, lattice.pieces_path(), head=head).collect()
     words = {r["doc_id"]: r["text"].encode().lower().split() for r in small.collect()}
@@ -419,11 +419,20 @@ def test_lattice_scores(docs, head):
                 counts[x] = counts.get(x, 0) + 1
     n, v = sum(counts.values()) + ends, len(counts) + 1
     assert len(out) == len(words)
+    # the model again: expected counts over the existing weights, whole words discounted
+    weights, into = lattice.zipf(lattice.load_pieces(lattice.pieces_path())), {}
+    for w, c in counts.items():
+        lattice._expected_long("▁" + w.decode(), pieces, c, into)
+    prior = max(1.0, sum(into.values()) / 1000) / sum(weights.values())
+    fitted = lattice.normalise({p: into.get(p, 0.0) + prior * x for p, x in weights.items()} | {"</s>": ends})
+    seen = [*counts.values(), ends]
+    less = (seen.count(1) + 1) / (seen.count(1) + 2 * seen.count(2) + 2)
     for r in out:
         tokens = [counts.get(x, 0) for x in words[r["doc_id"]]] + [ends]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(c > 0 for c in tokens), n)
         assert np.isclose(r["base_score"], sum(np.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in tokens))
-        assert r["score"] < 0
+        p = [np.exp(lattice.log_probability(x.decode(), fitted)) for x in words[r["doc_id"]]] + [np.exp(fitted.end)]
+        assert np.isclose(r["score"], sum(np.log10((max(c - less, 0) + less * v * q) / n) for c, q in zip(tokens, p)))
 
 
 def test_lattice_of_odd_rows(spark, odd, empty):
