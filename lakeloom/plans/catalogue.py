@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -544,18 +546,31 @@ def stream_interval_join(spark, sf_dir):
     return topology.run_to_table(out, _folder(spark)).select("left_id", "right_id")
 
 
-@query("SELECT user_id::VARCHAR AS key, round(sum(value), 4) AS total FROM events GROUP BY 1")
-def stream_fold(spark, sf_dir):
+@contextmanager
+def _rocksdb(spark):
+    """The state store that managed state needs, while a stream runs."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = topology.run_to_table(topology.fold(_stream(spark, sf_dir), "user_id", lambda a, v: a + v), _folder(spark), "update", "key")
+        yield
     finally:
         spark.conf.set(name, before)
+
+
+@query("SELECT user_id::VARCHAR AS key, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_fold(spark, sf_dir):
+    with _rocksdb(spark):
+        out = topology.run_to_table(topology.fold(_stream(spark, sf_dir), "user_id", lambda a, v: a + v), _folder(spark), "update", "key")
     return out.select("key", _r("total", 4))
 
 
+@query("SELECT user_id::VARCHAR AS key, count(*) AS n, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY 1 HAVING epoch_us(max(ts)) // 1000 + 21600000 <= (SELECT epoch_us(max(ts)) // 1000 - 10000 FROM events)")
+def stream_idle(spark, sf_dir):
+    with _rocksdb(spark):
+        return topology.run_to_table(topology.idle(_stream(spark, sf_dir), "user_id", 21_600), _folder(spark))
+
+
 # ---- search
 
 _WORDS = "SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+')) AS word FROM documents"

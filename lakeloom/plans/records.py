@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import columns as fn
 from lakeloom.operators import batch, graph, kv, monitoring, partitioning, relational, timeseries, txn
 from lakeloom.plans.registry import NODES, OTHER, USER, folder, query, rounded, tab
+from lakeloom.sources import collectors
 from lakeloom.sources import tables as src
 from lakeloom.sources.tables import sql
 from lakeloom.streaming import topology
@@ -197,6 +198,13 @@ def metric_dashboard(spark, sf_dir):
     return monitoring.dashboard(src.metrics(spark, sf_dir)).select("metric_name", "latest", "points", rounded("mean"))
 
 
+@query("SELECT collector, metric_name, most, count(*) AS n FROM (VALUES ('errors', 'error', 20::DOUBLE), ('service', 'click', 60), ('service', 'purchase', 80)) v(collector, metric_name, most) JOIN events ON event_type = metric_name AND value > most GROUP BY ALL")
+def metric_collected(spark, sf_dir):
+    limits = collectors.collect(spark, {"service": lambda: [("click", 60), ("purchase", 80)], "errors": lambda: [("error", 20)]}).withColumnRenamed("value", "most")
+    over = tab(spark, sf_dir, "events").join(limits, (F.col("event_type") == F.col("metric_name")) & (F.col("value") > F.col("most")))
+    return over.groupBy("collector", "metric_name", "most").agg(F.count("*").alias("n"))
+
+
 # ---- graph
 
 @query(f"SELECT c_custkey AS id, c_mktsegment AS label FROM customer UNION ALL SELECT DISTINCT l_partkey, 'part' FROM lineitem WHERE l_partkey NOT IN (SELECT c_custkey FROM customer)")

@@ -69,7 +69,6 @@ class Topology:
             out[name] = {"rows": sum(p["numInputRows"] for p in progress), "late": sum(s.get("numRowsDroppedByWatermark", 0) for p in progress for s in p["stateOperators"])}
         return out
 
-
     def watermark(self, name: str) -> str | None:
         """The event-time watermark that a query has reached, as its last progress tells."""
         told = [p["eventTime"].get("watermark") for p in self.queries[name].recentProgress if p["eventTime"]]
@@ -165,6 +164,48 @@ def fold(df: DataFrame, key: str, step: Callable[[float, float], float], start:
     return rows.groupBy("key").transformWithStateInPandas(Fold(step, start), outputStructType="key string, total double", outputMode="Update", timeMode="None")
 
 
+class Idle(StatefulProcessor):
+    """Counts a key's rows, and tells of a key once nothing has come for `gap_ms` of event time: the timer of its last row expires."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("seen", "n long, last_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, last = self.state.get() if self.state.exists() else (0, 0)
+        told = []
+        if n:
+            self.handle.deleteTimer(last + self.gap_ms)
+            if last + self.gap_ms <= timerValues.getCurrentWatermarkInMs():  # it had expired before these rows came
+                told, n = [(key[0], n, last)], 0
+        for part in rows:
+            newest = int(part["ms"].max())
+            n, last = n + len(part), max(last, newest) if n else newest
+        self.state.update((n, last))
+        self.handle.registerTimer(last + self.gap_ms)
+        yield pd.DataFrame(told, columns=["key", "n", "last_ms"]).astype({"key": object, "n": "int64", "last_ms": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, last = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({"key": [key[0]], "n": [n], "last_ms": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle(df: DataFrame, key: str, gap_s: int, delay: str = "10 seconds") -> DataFrame:
+    """(key, n, last_ms) of each key that fell silent for gap_s seconds of event time, by timers; needs the RocksDB state store.
+
+    Rows without a time are left out; a null key is a key. What has been told is forgotten, so the state holds live keys only.
+    """
+    rows = df.where("ts IS NOT NULL").withWatermark("ts", delay).select(F.col(key).cast("string").alias("key"), F.unix_millis("ts").alias("ms"), "ts")
+    return rows.groupBy("key").transformWithStateInPandas(Idle(gap_s * 1000), outputStructType="key string, n long, last_ms long", outputMode="Append", timeMode="EventTime")
+
+
 def run_to_table(df: DataFrame, folder: str, mode: str = "append", keep_last: str | None = None) -> DataFrame:
     """Run a stream over all there is and read its sink back. With keep_last, an updated key's last row counts.
 

@@ -356,3 +356,34 @@ def test_communities_by_hand(spark):
     want = {v: min(u for u in label if label[u] == c) for v, c in label.items()}
     got = graph.communities(spark.createDataFrame(edges, "src long, dst long"))
     assert {r["id"]: r["community"] for r in got.collect()} == want
+
+
+def test_collectors(spark):
+    from lakeloom.sources import collectors
+
+    given = {"b": lambda: [("x", 1), ("y", None), ("x", 1)], "a": lambda: [], "c": lambda: iter([(None, 2.5)])}
+    got = collectors.collect(spark, given)
+    assert sorted(map(tuple, got.collect()), key=str) == [("b", "x", 1.0), ("b", "x", 1.0), ("b", "y", None), ("c", None, 2.5)]
+    assert [r["metric_name"] for r in spark.read.format("collectors").option("only", "c").load().collect()] == [None]
+    assert spark.read.format("collectors").option("only", "none").load().collect() == []
+    assert collectors.collect(spark, {}).collect() == []
+
+
+def test_idle_keys_are_told_once_their_timer_expires(spark, tmp_path):
+    """Two files, one after the other: a key that falls silent is told with the first, and anew when it comes back."""
+    from lakeloom.plans.catalogue import _rocksdb
+
+    schema = "k string, ts timestamp"
+    rows = [[("a", 9000), ("a", 9005), (None, 9001), ("b", 9400), ("b", None)], [("a", 9500), ("c", 10000)]]
+    for i, part in enumerate(rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        made = spark.createDataFrame(part, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+        made.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        (file,) = (tmp_path / f"part{i}").glob("*.parquet")
+        file.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_000 + i, 1_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with _rocksdb(spark):
+        out = topology.run_to_table(topology.idle(stream, "k", 100), str(tmp_path / "run"))
+    told = sorted((tuple(r) for r in out.collect()), key=str)
+    assert told == sorted([("a", 2, 9_005_000), (None, 1, 9_001_000), ("b", 1, 9_400_000), ("a", 1, 9_500_000)], key=str)
