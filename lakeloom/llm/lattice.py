@@ -38,13 +38,18 @@ FLUSH = 300_000
 
 @dataclass
 class Pieces:
-    """Natural log-probability of each piece, of each spelled byte and of a text's end; plain: the pieces' probabilities."""
+    """Natural log-probability of each piece, of each spelled byte and of a text's end.
+
+    plain: the pieces' probabilities. reach: the length of the longest piece that ends in
+    these three characters; where none does, no piece that ends there has more than two.
+    """
 
     logp: dict[str, float]
     bytes: list[float]
     end: float
     longest: int
     plain: dict[str, float]
+    reach: dict[str, int]
 
     def char(self, c: str) -> float:
         """A character without a piece is spelled by its bytes."""
@@ -74,16 +79,20 @@ def normalise(weights: dict[str, float]) -> Pieces:
     logp = {p: math.log(w) - total for p, w in weights.items()}
     spelled = [logp.pop(f"<0x{b:02X}>") for b in range(256)]
     end = logp.pop(END)
-    return Pieces(logp, spelled, end, max(map(len, logp)), {p: math.exp(x) for p, x in logp.items()})
+    reach: dict[str, int] = {}
+    for p in logp:
+        if len(p) > 2:
+            reach[p[-3:]] = max(reach.get(p[-3:], 0), len(p))
+    return Pieces(logp, spelled, end, max(map(len, logp)), {p: math.exp(x) for p, x in logp.items()}, reach)
 
 
 def log_probability(word: str, pieces: Pieces) -> float:
     """Natural log of the word's probability, summed over all segmentations."""
     s = SPACE + word
-    get, longest, exp, log = pieces.logp.get, pieces.longest, math.exp, math.log
+    get, reach, exp, log = pieces.logp.get, pieces.reach.get, math.exp, math.log
     alpha = [0.0]
     for j in range(1, len(s) + 1):
-        terms = [alpha[i] + p for i in range(max(0, j - longest), j) if (p := get(s[i:j])) is not None]
+        terms = [alpha[i] + p for i in range(max(0, j - reach(s[max(0, j - 3) : j], 2)), j) if (p := get(s[i:j])) is not None]
         if s[j - 1] not in pieces.logp:
             terms.append(alpha[j - 1] + pieces.char(s[j - 1]))
         top = max(terms)
@@ -122,11 +131,11 @@ def _spell(c: str, share: float, into: dict[str, float]) -> None:
 
 def _expected_short(s: str, pieces: Pieces, count: float, into: dict[str, float]) -> bool:
     """Forward-backward with plain probabilities; False, and nothing added, if the whole is too small for them."""
-    get, longest = pieces.plain.get, pieces.longest
+    get, reach = pieces.plain.get, pieces.reach.get
     alpha, arcs = [1.0], []
     for j in range(1, len(s) + 1):
         total = 0.0
-        for i in range(max(0, j - longest), j):
+        for i in range(max(0, j - reach(s[max(0, j - 3) : j], 2)), j):
             p = get(s[i:j])
             if p is not None:
                 total += alpha[i] * p
@@ -152,7 +161,7 @@ def _expected_short(s: str, pieces: Pieces, count: float, into: dict[str, float]
 
 def _expected_long(s: str, pieces: Pieces, count: float, into: dict[str, float]) -> None:
     """Forward-backward in log space; keeps a number a character, however long the word."""
-    get, longest, n = pieces.logp.get, pieces.longest, len(s)
+    get, reach, n = pieces.logp.get, pieces.reach.get, len(s)
 
     def plus(a: float, b: float) -> float:
         if a < b:
@@ -160,7 +169,7 @@ def _expected_long(s: str, pieces: Pieces, count: float, into: dict[str, float])
         return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
     def arcs(j: int) -> Iterator[tuple[int, float, bool]]:
-        for i in range(max(0, j - longest), j):
+        for i in range(max(0, j - reach(s[max(0, j - 3) : j], 2)), j):
             p = get(s[i:j])
             if p is not None:
                 yield i, p, True
