@@ -87,8 +87,15 @@ def bloom_shape(capacity: int, p: float) -> tuple[int, int]:
     return m, int(m * math.log(2) / capacity)
 
 
-def bloom_positions(item: Column, bits: int, hashes: int) -> Column:
-    return F.array(*[md5_mod(F.concat(item, F.lit(str(i))), bits) for i in range(hashes)])
+def md5_mod_floating(key: Column, n: int) -> Column:
+    """The md5 as a double, modulo n: what DuckDB makes of UHUGEINT % BIGINT."""
+    digest = F.md5(key.cast("binary"))
+    half = lambda a: F.conv(F.substring(digest, a, 16), 16, 10).cast("double")
+    return ((half(1) * 2.0**64 + half(17)) % float(n)).cast("bigint")
+
+
+def bloom_positions(item: Column, bits: int, hashes: int, mod=md5_mod) -> Column:
+    return F.array(*[mod(F.concat(item, F.lit(str(i))), bits) for i in range(hashes)])
 
 
 def bloom_false_positive_rate(n: Column, bits: int, hashes: int) -> Column:

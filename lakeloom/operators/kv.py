@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.functions.columns import bloom_positions, md5_mod
+
 
 def latest(log: DataFrame) -> DataFrame:
     """The newest live version of each key; ties of ts by seq. A tombstone hides the key."""
@@ -51,20 +53,16 @@ def compaction_plan(files: DataFrame, most: int = 4) -> DataFrame:
     return files.groupBy(level.alias("level")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).where(F.col("files") >= most)
 
 
-def bloom(items: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
-    """The set positions of a Bloom filter over a column."""
-    from lakeloom.functions.columns import bloom_positions
-
-    return items.select(F.explode(bloom_positions(F.col(column), bits, hashes)).alias("position")).distinct()
-
+def bloom(items: DataFrame, column: str, bits: int, hashes: int, mod=md5_mod) -> DataFrame:
+    """The set positions of a Bloom filter over a column. mod: how an item's digest becomes a position."""
+    return items.select(F.explode(bloom_positions(F.col(column), bits, hashes, mod)).alias("position")).distinct()
 
-def bloom_contains(probe: DataFrame, column: str, positions: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """Add `maybe`: whether all positions of an item are set."""
-    from lakeloom.functions.columns import bloom_positions
 
-    asked = probe.select(column).distinct().select(column, F.explode(bloom_positions(F.col(column), bits, hashes)).alias("position"))
+def bloom_contains(probe: DataFrame, column: str, positions: DataFrame, bits: int, hashes: int, mod=md5_mod) -> DataFrame:
+    """Add `maybe`: whether all positions of an item are set, null for a null item. mod: as bloom() had it."""
+    asked = probe.select(column).where(F.col(column).isNotNull()).distinct().select(column, F.explode(bloom_positions(F.col(column), bits, hashes, mod)).alias("position"))
     hit = asked.join(positions.withColumn("set", F.lit(1)), "position", "left").groupBy(column).agg((F.count("set") == F.count("*")).alias("maybe"))
-    return probe.join(hit, column)
+    return probe.join(hit, column, "left")
 
 
 def clear(log: DataFrame) -> DataFrame:

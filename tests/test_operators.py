@@ -270,6 +270,21 @@ def test_bloom_probe_asks_every_customer(spark):
     assert got == {i: places(i) <= filled for i in ids} and len(got) > len(members) and not all(got.values())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_bloom_probe_places_items_as_its_sql_does(spark, tmp_path):
+    """More customers than the smallest tables have, and odd ones: a null, a repeated and a negative id."""
+    import duckdb
+
+    from lakeloom.plans.catalogue import ORACLE_SQL, QUERIES
+
+    spark.range(1500).unionByName(spark.createDataFrame([(None,), (7,), (20,), (-30,)], "id long")).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["kv_bloom_probe"](spark, str(tmp_path)).collect()]
+    want = con.sql(ORACLE_SQL["kv_bloom_probe"]).fetchall()
+    assert set(got) == set(want) and len(got) == len(want) == 1502
+
+
 def test_locks_are_granted_in_order(spark):
     """The closed form against a queue walked by hand."""
     rng = random.Random(21)
