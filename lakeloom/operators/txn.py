@@ -82,9 +82,10 @@ def replica_health(lag: DataFrame) -> DataFrame:
     return lag.withColumn("health", F.when(F.col("silent_s") > 30, "FAILED").when(F.col("lag_ms") > 5000, "LAGGING").otherwise("HEALTHY"))
 
 
-def read_from(nodes: DataFrame) -> DataFrame:
-    """The healthy secondary with the least lag, else the primary."""
-    return nodes.agg(F.coalesce(F.min_by("node", F.when((F.col("role") == "secondary") & (F.col("health") == "HEALTHY"), F.col("lag_ms"))), F.max(F.when(F.col("role") == "primary", F.col("node")))).alias("node"))
+def read_from(nodes: DataFrame, tie: str = "node") -> DataFrame:
+    """The healthy secondary with the least lag, of several that with the smallest `tie`, else the primary. Nodes without a name or a lag are left out."""
+    fit = (F.col("role") == "secondary") & (F.col("health") == "HEALTHY") & F.col("node").isNotNull() & F.col("lag_ms").isNotNull()
+    return nodes.agg(F.coalesce(F.min_by("node", F.when(fit, F.struct("lag_ms", tie))), F.max(F.when(F.col("role") == "primary", F.col("node")))).alias("node"))
 
 
 def last_write_wins(rows: DataFrame) -> DataFrame:

@@ -285,6 +285,26 @@ def test_bloom_probe_places_items_as_its_sql_does(spark, tmp_path):
     assert set(got) == set(want) and len(got) == len(want) == 1502
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_read_from_the_first_of_equal_lags(spark, tmp_path):
+    """20,000 suppliers: keys 9,000 apart lag alike."""
+    import duckdb
+
+    from lakeloom.plans.catalogue import ORACLE_SQL, QUERIES
+
+    rows = spark.range(2, 20_000).unionByName(spark.createDataFrame([(None,)], "id long"))
+    rows.select(F.col("id").alias("s_suppkey"), F.when(F.col("id") % 4500 > 0, F.concat(F.lit("s"), F.col("id"))).alias("s_name")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    for name in ("replica_read_from", "replica_cluster_status"):
+        assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == con.sql(ORACLE_SQL[name]).fetchall()
+    spark.createDataFrame([(1, "s1"), (31, "s31")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/few/supplier.parquet")
+    con.sql(f"CREATE OR REPLACE VIEW supplier AS SELECT * FROM '{tmp_path}/few/supplier.parquet/*.parquet'")
+    assert [tuple(r) for r in QUERIES["replica_read_from"](spark, f"{tmp_path}/few").collect()] == con.sql(ORACLE_SQL["replica_read_from"]).fetchall() == [(None,)]
+    nodes = spark.createDataFrame([("p", "primary", "HEALTHY", 0), ("b", "secondary", "HEALTHY", 5), ("a", "secondary", "HEALTHY", 5), ("c", "secondary", "FAILED", 1)], "node string, role string, health string, lag_ms int")
+    assert [txn.read_from(x).first()[0] for x in (nodes, nodes.where("lag_ms < 5"))] == ["a", "p"]
+
+
 def test_locks_are_granted_in_order(spark):
     """The closed form against a queue walked by hand."""
     rng = random.Random(21)
