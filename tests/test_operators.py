@@ -257,6 +257,36 @@ def test_deadlocks_of_any_length(spark):
             assert r["victim"] == path[0] and len(set(path)) == len(path) and all(e in edges for e in zip(path, [*path[1:], path[0]]))
 
 
+def test_betweenness_seen_from_either_side(spark):
+    """Dense parts, where unreached nodes have fewer edges than the front, beside a long path, a node of its own and edges without an end."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(150)] + [(i, i + 1) for i in range(29, 45)] + [(60, 60), (50, 51)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        far, ways, order = {s: 0}, dict.fromkeys(near, 0), [s]
+        ways[s] = 1
+        for v in order:
+            for w in near[v]:
+                if w not in far:
+                    far[w] = far[v] + 1
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    ways[w] += ways[v]
+        share = dict.fromkeys(near, 0.0)
+        for w in reversed(order[1:]):
+            for v in near[w]:
+                if far[v] == far[w] - 1:
+                    share[v] += ways[v] / ways[w] * (1 + share[w])
+            want[w] += share[w]
+    df = spark.createDataFrame([*edges, (None, 3), (4, None)], "src long, dst long")
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(df, parts=3).collect()}
+    assert got.keys() == near.keys() - {60} and all(abs(got[v] - want[v]) < 1e-6 for v in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_bloom_probe_asks_every_customer(spark):
     from lakeloom.plans.catalogue import QUERIES
