@@ -2,8 +2,10 @@
 
 Token labels come from labelled documents: a word (or its prefix) that is far more frequent
 in toxic than in clean documents is a toxic token there. The field has two tags, hashed
-word and prefix features, and tag-to-tag weights, fitted by gradient on the difference of
-labels and forward-backward marginals. On all documents the marginals of the toxic tag are
+word and prefix features, and tag-to-tag weights. It is fitted by gradient on its
+pseudo-likelihood: each tag given its word and its neighbours' tags, so all sentences of
+all labelled documents come down to counts of (word, tags), and each step of the gradient
+is a pass over these. On all documents the marginals of the toxic tag are
 computed for all sentences of a batch at once; their sum, density and maximum give the
 document's score by a logistic model, and runs of likely tokens the offending offsets.
 """
@@ -11,6 +13,7 @@ document's score by a logistic model, and runs of likely tokens the offending of
 from __future__ import annotations
 
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,16 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, bounded_ids, column, remainder, small_batches, table
+from .common import as_bytes, batches, column, forget, remainder, small_batches, table
 
 FOLD, HELD = 3, 1
-#: The classifier is fitted on at most this many labelled documents of each label, and this many sentences; a longer sentence is cut into chains of so many words.
-TAUGHT, SENTENCES, SENTENCE_WORDS = 15_000, 12_000, 100
+#: A longer sentence is cut into chains of so many words.
+SENTENCE_WORDS = 100
 SLOTS, PREFIXES = 1 << 18, (4, 5)
 #: A word teaches the toxic tag if its odds in toxic documents are LIFT times those in clean ones and SHARE of the toxic ones have it.
 LIFT, SHARE, FEWEST = 25.0, 0.015, 3
 CUT = 0.7
 STEPS, RATE, DECAY = 60, 0.3, 1e-4
+#: Counts read at a time in a step.
+PIECE = 1 << 18
 REMEMBERED = 300_000
 ENDS = (b".", b"!", b"?")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -149,70 +154,143 @@ def summary(p: np.ndarray) -> tuple[float, float, float]:
     return float(np.log1p(total)), float(np.log1p(1000 * total / len(p))), float(p.max())
 
 
-def _learn_chain(sentences: list[tuple[list[str], list[int]]]) -> tuple[np.ndarray, float, np.ndarray]:
-    """Gradient ascent (Adam) on the chain's log-likelihood over a bounded set of sentences."""
-    kinds: dict[str, int] = {}
-    ids = np.array([kinds.setdefault(w, len(kinds)) for words, _ in sentences for w in words], np.int64)
-    label = np.array([x for _, tags in sentences for x in tags], float)
-    lengths = np.array([len(w) for w, _ in sentences], np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    pairs = [(k, f) for w, k in kinds.items() for f in features(w)]
-    owner, slot = np.array([k for k, _ in pairs], np.int64), np.array([f for _, f in pairs], np.int64)
+def _key(word: str, tag: int, before: int, after: int) -> int:
+    """A word's features, its tag and its neighbours' (2: none) in one integer."""
+    slots = features(word)
+    for f in slots + [SLOTS] * (3 - len(slots)):
+        tag = tag << 19 | f
+    return tag << 4 | before << 2 | after
+
+
+def _parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(three slots a row, tag, tag before, tag after) of keys."""
+    slots = np.stack([key >> shift & (1 << 19) - 1 for shift in (4, 23, 42)])
+    return slots, key >> 61, key >> 2 & 3, key & 3
+
+
+def chain_gradient(key: np.ndarray, n: np.ndarray, weights: np.ndarray, bias: float, steps: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """The pseudo-likelihood's gradient by slot weights, bias and transitions, over keys that occur n times."""
+    slots, tag, before, after = _parts(key)
+    left, right = np.append(steps[:, 1] - steps[:, 0], 0.0), np.append(steps[1] - steps[0], 0.0)
+    held = np.append(weights, 0.0)
+    e = np.clip(held[slots].sum(0) + bias, -30, 30) + left[before] + right[after]
+    off = n * (tag - 1 / (1 + np.exp(-np.clip(e, -60, 60))))
+    grad = sum(np.bincount(x, off, SLOTS + 1) for x in slots)[:SLOTS]
+    moved = np.zeros((2, 2))
+    by_left, by_right = np.bincount(before, off, 3)[:2], np.bincount(after, off, 3)[:2]
+    moved[:, 1] += by_left
+    moved[:, 0] -= by_left
+    moved[1] += by_right
+    moved[0] -= by_right
+    return grad, float(off.sum()), moved
+
+
+def _total(df: DataFrame, f) -> np.ndarray:
+    """f, of an Arrow batch, summed over all batches. A row a task, as many tasks as cores."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = sum(map(f, batches(rows)))
+        if isinstance(out, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["data"])
+
+    got = df.coalesce(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "data binary").collect()
+    return sum(np.frombuffer(r["data"], np.float64) for r in got)
+
+
+def _learn_chain(counted: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
+    """Gradient ascent (Adam) over all counts: keys and n, as packed integers.
+
+    One task takes the steps: the counts are a small part of the texts. It keeps them in
+    files of its own, so its memory doesn't grow with them, and the driver gets the weights.
+    """
+
+    def learn(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as keys, tempfile.TemporaryFile() as counts:
+            for b in batches(rows):
+                for name, file in (("keys", keys), ("n", counts)):
+                    for x in column(b, name):
+                        file.write(x.as_buffer())
+            weights, bias, steps = _ascend(lambda: _read(keys, counts))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([weights, [bias], steps.ravel()]).tobytes()], pa.binary())], ["data"])
+
+    got = np.frombuffer(counted.coalesce(1).mapInArrow(learn, "data binary").first()["data"], np.float64)
+    return got[:SLOTS].copy(), float(got[SLOTS]), got[SLOTS + 1 :].reshape(2, 2).copy()
+
+
+def _read(keys, counts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The files' (keys, n), PIECE at a time."""
+    keys.seek(0)
+    counts.seek(0)
+    while raw := keys.read(8 * PIECE):
+        yield np.frombuffer(raw, np.int64), np.frombuffer(counts.read(8 * PIECE), np.int64)
+
+
+def _ascend(pieces) -> tuple[np.ndarray, float, np.ndarray]:
+    """Adam's steps. pieces() gives all (keys, n)."""
+    tokens = pairs = 0
+    for key, n in pieces():
+        tokens += int(n.sum())
+        pairs += int(n[(key >> 2 & 3) < 2].sum())
     weights, bias, steps = np.zeros(SLOTS), -2.0, np.zeros((2, 2))
-    follows = np.ones(len(ids), bool)
-    follows[starts] = False
-    at = np.flatnonzero(follows)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (label[at - 1].astype(int), label[at].astype(int)), 1)
     m, moved = [np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0], [np.zeros((2, 2)), np.zeros((2, 2))]
-    used = np.unique(slot)
     for n in range(1, STEPS + 1):
-        kind_e = np.bincount(owner, weights[slot], len(kinds)) + bias
-        e = np.clip(kind_e[ids], -30, 30)
-        p = marginals(e, starts, lengths, steps)
-        off = label - p
-        grad = np.bincount(slot, np.bincount(ids, off, len(kinds))[owner], SLOTS)[used] - DECAY * len(ids) * weights[used] / SLOTS
-        m[0][used] = 0.9 * m[0][used] + 0.1 * grad
-        m[1][used] = 0.99 * m[1][used] + 0.01 * grad**2
-        weights[used] += RATE * (m[0][used] / (1 - 0.9**n)) / (np.sqrt(m[1][used] / (1 - 0.99**n)) + 1e-8)
-        weights[used] *= 1 - 1e-3
-        g = off.sum()
+        grad, g, turn = np.zeros(SLOTS), 0.0, np.zeros((2, 2))
+        for piece in pieces():
+            x, y, z = chain_gradient(*piece, weights, bias, steps)
+            grad += x
+            g += y
+            turn += z
+        grad -= DECAY * tokens * weights / SLOTS
+        m[0] = 0.9 * m[0] + 0.1 * grad
+        m[1] = 0.99 * m[1] + 0.01 * grad**2
+        weights = weights + RATE * (m[0] / (1 - 0.9**n)) / (np.sqrt(m[1] / (1 - 0.99**n)) + 1e-8)
+        weights *= 1 - 1e-3
         m[2], m[3] = 0.9 * m[2] + 0.1 * g, 0.99 * m[3] + 0.01 * g * g
         bias += 0.5 * RATE * (m[2] / (1 - 0.9**n)) / (np.sqrt(m[3] / (1 - 0.99**n)) + 1e-8)
-        # transitions: observed pairs less expected ones
-        g = (seen - pair_marginals(e, starts, lengths, steps, at).sum(0)) / max(1, len(at)) - DECAY * steps
-        moved[0], moved[1] = 0.9 * moved[0] + 0.1 * g, 0.99 * moved[1] + 0.01 * g**2
+        turn = turn / max(1, pairs) - DECAY * steps
+        moved[0], moved[1] = 0.9 * moved[0] + 0.1 * turn, 0.99 * moved[1] + 0.01 * turn**2
         steps = steps + 0.5 * RATE * (moved[0] / (1 - 0.9**n)) / (np.sqrt(moved[1] / (1 - 0.99**n)) + 1e-8)
     return weights, bias, steps
 
 
-def _learn_document(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton steps with a ridge; the two labels weigh alike."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+def _learn_document(measured: DataFrame, clean: int, toxic: int) -> np.ndarray:
+    """Logistic weights by Newton steps with a ridge; the two labels weigh alike. A pass over the measured documents a step."""
+    w = np.zeros(4)
+    share = np.array([0.5 / max(1, clean), 0.5 / max(1, toxic)]) * (clean + toxic)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, x.T @ (share * (y - p)) - 0.5 * w)
+
+        def newton(b: pa.RecordBatch) -> np.ndarray:
+            y = column(b, "toxic").to_numpy()
+            x = np.column_stack([np.ones(len(y)), *(column(b, c).to_numpy() for c in ("total", "density", "top"))])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            return np.concatenate([((x * (share[y] * p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (share[y] * (y - p))])
+
+        got = _total(measured, newton)
+        move = np.linalg.solve(got[:16].reshape(4, 4) + 0.5 * np.eye(4), got[16:] - 0.5 * w)
+        w = w + move
+        if np.abs(move).max() < 1e-9:
+            break
     return w
 
 
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: bool = True) -> Model:
-    """Learn from labelled documents outside the held-out fold: a bounded sample of each label, equal texts once."""
+    """Learn from all labelled documents outside the held-out fold, equal texts once. Their ids are broadcast, so that texts aren't shuffled."""
     spark = df.sparkSession
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     if fold:
         known = known.where(remainder("doc_id", FOLD) != HELD)
-    sample = None
-    for value in (0, 1):
-        part = bounded_ids(known.where(F.col("toxic") == value), "doc_id", TAUGHT)
-        sample = part if sample is None else sample.unionAll(part)
-    sample = table(sample)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    taught = rows.join(F.broadcast(sample), "doc_id")  # 2 x TAUGHT ids
-    once = table(taught.select("doc_id", "toxic", F.xxhash64("text").alias("h")).groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
-    taught = small_batches(rows.join(F.broadcast(once), "doc_id"))
+    once = table(rows.join(F.broadcast(known.distinct()), "doc_id").select("doc_id", "toxic", F.xxhash64("text").alias("h")).groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
+    taught = table(rows.join(F.broadcast(once), "doc_id"))
+    none = Model(np.zeros(SLOTS), -6.0, np.zeros((2, 2)), np.array([-4.0, 0, 0, 0]))
+    try:
+        return _fit(spark, small_batches(taught), none)
+    finally:
+        forget(once, taught)
+
+
+def _fit(spark, taught: DataFrame, none: Model) -> Model:
+    """The model of the taught documents (text, toxic); none if they show no toxic word."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -226,36 +304,43 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
                 seen = Counter(), Counter()
         yield _counts(seen)
 
-    sizes = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
+    sizes = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not toxic:
-        return Model(np.zeros(SLOTS), -6.0, np.zeros((2, 2)), np.array([-4.0, 0, 0, 0]))
+        return none
     counted = taught.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = ((F.col("toxic") + 0.1) / (toxic + 1)) / ((F.col("clean") + 0.1) / (clean + 1))
-    lexicon = {r["word"] for r in counted.where((F.col("toxic") >= max(FEWEST, SHARE * toxic)) & (lift >= LIFT)).orderBy(F.desc("toxic"), "word").limit(20_000).select("word").collect()}
+    # at most a toxic document's mean number of words, over SHARE
+    lexicon = {r["word"] for r in counted.where((F.col("toxic") >= max(FEWEST, SHARE * toxic)) & (lift >= LIFT)).select("word").collect()}
+    if not lexicon:
+        return none
+    lexicons = spark.sparkContext.broadcast(lexicon)
+
+    def tagged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lexicons.value
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = [_key(*x) for x in seen]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
 
-    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(parts):
-            out = []
             for x, y in zip(as_bytes(b, "text"), column(b, "toxic").to_pylist()):
                 for words in _chains(x):
-                    tags = [int(y and (w in lexicon or (len(w) > PREFIXES[-1] and f"{w[: PREFIXES[-1]]}\n" in lexicon))) for w in words]
-                    said = " ".join(w or "-" for w in words)
-                    mark = xxhash.xxh3_64_intdigest(said) >> 1
-                    if any(tags) or mark % 16 == 0:
-                        out.append((int(any(tags)), mark, said, "".join(map(str, tags))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], [], []), (pa.int32(), pa.int64(), pa.string(), pa.string()))], ["hit", "mark", "words", "tags"])
-
-    picked = table(taught.mapInArrow(pick, "hit int, mark long, words string, tags string"))
-    sentences = []
-    for hit in (1, 0):
-        for r in picked.where(F.col("hit") == hit).orderBy("mark", "words").limit(SENTENCES // 2).collect():
-            words = r["words"].split(" ")
-            if len(words) == len(r["tags"]):
-                sentences.append((words, [int(x) for x in r["tags"]]))
-    if not any(any(tags) for _, tags in sentences):
-        return Model(np.zeros(SLOTS), -6.0, np.zeros((2, 2)), np.array([-4.0, 0, 0, 0]))
-    model = Model(*_learn_chain(sentences), np.zeros(4))
+                    tags = [int(w in held or (len(w) > PREFIXES[-1] and f"{w[: PREFIXES[-1]]}\n" in held)) for w in words] if y else [0] * len(words)
+                    seen.update(zip(words, tags, [2, *tags[:-1]], [*tags[1:], 2]))
+                if len(seen) > 300_000:
+                    yield flush()
+                    seen.clear()
+        yield flush()
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([column(b, c).to_numpy().tobytes()], pa.binary()) for c in ("key", "n")], ["keys", "n"])
+
+    tags = table(taught.mapInArrow(tagged, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(pack, "keys binary, n binary"))
+    model = Model(*_learn_chain(tags), np.zeros(4))
+    forget(tags)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +350,9 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
             found = [summary(p[i:j]) for i, j in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([column(b, "toxic"), *(pa.array([x[i] for x in found], pa.float64()) for i in range(3))], ["toxic", "total", "density", "top"])
 
-    got = np.array([tuple(r) for r in taught.mapInArrow(measure, "toxic int, total double, density double, top double").collect()], float)
-    model.document = _learn_document(got[:, 1:], got[:, 0])
+    measured = table(taught.mapInArrow(measure, "toxic int, total double, density double, top double"))
+    model.document = _learn_document(measured, clean, toxic)
+    forget(measured)
     return model
 
 

@@ -9,6 +9,7 @@ from itertools import combinations, product
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, decontaminate, language, lattice, linededup, quality, secrets, sharding, simhash, toxicity
 from lakeloom.llm.components import components
@@ -362,6 +363,49 @@ def test_texts_without_sentence_marks_are_learnt(spark):
     assert [len(x) for x in toxicity._chains(b"a " * 250 + b"b. c")] == [100, 100, 51, 1]
 
 
+def test_every_labelled_document_teaches(spark):
+    """The clean documents that show a word to be harmless have the greatest hashes, past the 15,000 that were once enough."""
+    rng = random.Random(9)
+    plain = "the a one tree house river walks to sings over under with green blue".split()
+    texts = [(i, " ".join(rng.choices(plain, k=8))) for i in range(16_200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    order = [r[0] for r in df.where("doc_id < 16000").orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    words = dict.fromkeys(order[15_000:], "bloop") | dict.fromkeys(range(16_000, 16_100), "bloop dimwit")
+    texts = [(i, f"{i} {x} {words.get(i, '')}") for i, x in texts] + [(20_000, "the house sings bloop under")]
+    labels = spark.createDataFrame([(i, 1, int(i >= 16_000)) for i, _ in texts if i < 16_100], LABELS)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in toxicity.score(df, toxicity.fit(df, labels, fold=False)).collect()}
+    assert not got[20_000]["predicted"] and not got[order[-1]]["predicted"] and got[16_005]["predicted"]
+
+
+def test_chain_gradient_is_the_pseudo_likelihoods(monkeypatch):
+    """Against differences of the likelihood, summed sentence by sentence."""
+    monkeypatch.setattr(toxicity, "SLOTS", 64)
+    rng = np.random.default_rng(3)
+    sentences = [[(str(rng.choice(["abcdefg", "abcdx", "b", "", "abcdefh"])), int(rng.integers(2))) for _ in range(n)] for n in (1, 2, 5, 9)]
+    weights, bias, steps = rng.normal(size=64), 0.3, rng.normal(size=(2, 2))
+
+    def likelihood(weights, bias, steps):
+        out = 0.0
+        for s in sentences:
+            for i, (w, t) in enumerate(s):
+                says = [y * (bias + sum(weights[f] for f in toxicity.features(w))) + (steps[s[i - 1][1], y] if i else 0) + (steps[y, s[i + 1][1]] if i + 1 < len(s) else 0) for y in (0, 1)]
+                out += says[t] - np.logaddexp(*says)
+        return out
+
+    keys = [toxicity._key(w, t, s[i - 1][1] if i else 2, s[i + 1][1] if i + 1 < len(s) else 2) for s in sentences for i, (w, t) in enumerate(s)]
+    key, n = np.unique(np.array(keys, np.int64), return_counts=True)
+    grad, by_bias, turn = toxicity.chain_gradient(key, n, weights, bias, steps)
+    step = 1e-5
+    diff = lambda f: (f(step) - f(-step)) / (2 * step)
+    assert np.allclose(grad, [diff(lambda h: likelihood(weights + h * (np.arange(64) == k), bias, steps)) for k in range(64)], atol=1e-6)
+    assert abs(by_bias - diff(lambda h: likelihood(weights, bias + h, steps))) < 1e-6
+    for k in product((0, 1), repeat=2):
+        at = np.zeros((2, 2))
+        at[k] = 1
+        assert abs(turn[k] - diff(lambda h: likelihood(weights, bias, steps + h * at))) < 1e-6
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty, insults):
     model = toxicity.fit(*insults)
     assert all(r["predicted"] == 0 and 0 <= r["score"] <= 1 for r in toxicity.score(odd, model).collect())
