@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,6 +288,17 @@ def test_betweenness_seen_from_either_side(spark):
     assert got.keys() == near.keys() - {60} and all(abs(got[v] - want[v]) < 1e-6 for v in got)
 
 
+def test_betweenness_costs_a_source_its_own_component(spark):
+    """80,000 paths of three nodes, their ids interleaved: minutes if every source walked arrays of all nodes."""
+    k = 80_000
+    edges = spark.range(k).selectExpr("id AS src", f"id + {k} AS dst").unionAll(spark.range(k).selectExpr(f"id + {k} AS src", f"id + {2 * k} AS dst"))
+    began = time.monotonic()
+    got = graph.betweenness(edges).toPandas()
+    assert time.monotonic() - began < 90
+    assert len(got) == 3 * k and set(got["id"]) == set(range(3 * k))
+    assert (got["betweenness"] == got["id"].between(k, 2 * k - 1) * 2.0).all()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_bloom_probe_asks_every_customer(spark):
     from lakeloom.plans.catalogue import QUERIES
